@@ -6,9 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import simhash
+from quillspark.llm import bpe, simhash, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
+    "op4_bpe": bpe.op4_bpe,
+    "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLES: dict[str, str] = {}
