@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, simhash, suffix, token_counts
+from quillspark.llm import bpe, langid, simhash, suffix, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
     "op4_bpe": bpe.op4_bpe,
+    "op5_language_id": langid.op5_language_id,
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLES: dict[str, str] = {
+    "op5_language_id": langid.op5_language_id,
     "op8_suffix_dedup": suffix.ORACLE,
 }
