@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import simhash
+from quillspark.llm import bpe, langid, mixing, pii, simhash
 from quillspark.llm.common import table, written
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-STAGES: list[tuple[str, Stage]] = [("near_duplicates", simhash.stage)]
+STAGES: list[tuple[str, Stage]] = [
+    ("language", langid.stage),
+    ("near_duplicates", simhash.stage),
+    ("personal_data", pii.stage),
+    ("mixing", mixing.stage),
+    ("tokens", bpe.stage),
+]
+#: Trained models and tokenizers are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
 
 

@@ -6,17 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import bpe, langid, pii, simhash, suffix, token_counts
+from quillspark.llm import bpe, langid, mixing, pii, simhash, suffix, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": simhash.op2_simhash,
     "op4_bpe": bpe.op4_bpe,
     "op5_language_id": langid.op5_language_id,
+    "op6_mixing": mixing.op6_mixing,
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op10_pii": pii.op10_pii,
     "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLES: dict[str, str] = {
     "op5_language_id": langid.op5_language_id,
+    "op6_mixing": mixing.ORACLE,
     "op8_suffix_dedup": suffix.ORACLE,
 }
