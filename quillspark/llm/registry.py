@@ -21,7 +21,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_token_counts": token_counts.op9_token_counts,
 }
 ORACLES: dict[str, str] = {
-    "op5_language_id": langid.op5_language_id,
     "op3_topk": topk.ORACLE,
     "op6_mixing": mixing.ORACLE,
     "op8_suffix_dedup": suffix.ORACLE,
