@@ -7,8 +7,13 @@ from pyspark.sql import functions as F
 
 
 def parsed(text: Column) -> Column:
-    """VARIANT, or null where the text isn't one JSON value."""
-    return F.try_parse_json(text)
+    """VARIANT, or null where the text isn't one JSON value.
+
+    The parser stops after the first value.  Whatever follows it can go on neither in an array of one nor in an object.
+    """
+    one = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    alone = F.try_variant_get(one, "$[1]", "variant").isNull() & F.try_parse_json(F.concat(F.lit('{"a":'), text, F.lit("}"))).isNotNull()
+    return F.when(one.isNotNull() & alone, F.try_parse_json(text))
 
 
 def kind(text: Column) -> Column:

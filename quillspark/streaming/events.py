@@ -18,7 +18,7 @@ def rate_limited(df: DataFrame, key: str, ts: str, request: str, most: int, wind
     """(key, request, allowed): at most ``most`` requests in each window of a key; ``most`` <= 0 allows everything."""
     if most <= 0:
         return df.select(key, request, F.lit(True).alias("allowed"))
-    times = df.select(key, F.struct(F.unix_micros(ts).alias("t"), F.col(request).alias("r")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
+    times = df.select(key, F.struct(F.unix_micros(F.col(ts).cast("timestamp")).alias("t"), F.col(request).alias("r")).alias("x")).groupBy(key).agg(F.array_sort(F.collect_list("x")).alias("xs"))
     start = F.struct(F.lit(None).cast("long").alias("begin"), F.lit(0).alias("n"), F.array().cast("array<boolean>").alias("ok"))
 
     def step(s, x):  # noqa: ANN001, ANN202
