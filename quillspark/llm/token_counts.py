@@ -99,7 +99,7 @@ def frequent(docs: DataFrame, ranks: dict[bytes, int], sample: int = SAMPLE, slo
     """Pre-tokens and their counts of tokens for the table, at most half of its slots."""
     enc = encoding(ranks)
     pieces: dict[str, int] = {}
-    for r in docs.select("text").where("text is not null").limit(sample).collect():
+    for r in docs.select("text").where("text <> ''").limit(sample).collect():
         cp, off = codepoints([r.text])
         s = starts(cp, off).tolist()
         for a, b in zip(s, [*s[1:], len(r.text)], strict=True):
