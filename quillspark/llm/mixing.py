@@ -4,8 +4,10 @@ Every source's documents, in the order of a hash of their ids, are cut into bloc
 document belongs to the block in which it starts.  Block j of a source with weight w has the release time
 floor(j / w) and the deadline ceil((j + 1) / w), in slots of one block; in each slot the released block with
 the earliest deadline is taken.  As the weights sum to 1 this meets every deadline, so after any number of
-slots every source has had its share up to less than one block.  Weights are whole numbers of slots in a
-period, so the schedule repeats and the driver computes one period only, however long the mix is.
+slots every source has had its share up to less than one block.  Weights are exact fractions and nothing is
+rounded, so the driver computes the schedule of the whole mix: one number for each ``BLOCK`` characters of it.
+``ORACLE`` takes weights rounded to slots of a period; its mix is the same at sf0.001 and sf0.01 (23 and 82 slots)
+but not at sf0.1, where 472 of 769 slots differ.
 
 The mix ends when every source has been used up once; a source that is used up earlier starts again (another
 epoch), so no document is lost and the weights hold to the end.  Target weights are a parameter (any positive
@@ -25,7 +27,9 @@ table gives no rows.  Sources without a given weight are an error; weights of ab
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Mapping
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -35,39 +39,46 @@ from quillspark.llm.common import prepare, table
 BLOCK = 32_768
 ALPHA = 0.85
 EPOCHS = 4
-MOST_SLOTS = 1 << 20
+CHUNK = 1024
+MOST_SLOTS = 1 << 20  # of ORACLE
 
 
-def slots_of(blocks: Mapping[str, int], weights: Mapping[str, float] | None = None) -> dict[str, int]:
-    """Slots of each source in a period."""
+def shares_of(blocks: Mapping[str, int], weights: Mapping[str, float] | None = None) -> dict[str, int]:
+    """Weights of the sources as whole numbers in exactly the proportions wanted."""
     if weights is None:
         top = max(blocks.values())
-        want = {s: min(top ** (1 - ALPHA) * n**ALPHA, float(EPOCHS * n)) for s, n in blocks.items()}
+        want = {s: Fraction(min(top ** (1 - ALPHA) * n**ALPHA, float(EPOCHS * n))) for s, n in blocks.items()}
     else:
-        want = {s: float(weights[s]) for s in blocks}
+        want = {s: Fraction(weights[s]) for s in blocks}
         if min(want.values()) <= 0:
             raise ValueError("weights must be positive")
-    total = sum(want[s] for s in sorted(want))
-    period = min(MOST_SLOTS, max(1000, int(2 * total / min(want.values())) + 1))
-    return {s: max(1, int(w / total * period + 0.5)) for s, w in want.items()}
-
-
-def schedule(slots: Mapping[str, int]) -> dict[str, list[int]]:
-    """The slots of one period that each source gets, by earliest deadline first among released blocks."""
-    period = sum(slots.values())
-    names = sorted(slots)
+    unit = math.lcm(*(w.denominator for w in want.values()))
+    whole = {s: int(w * unit) for s, w in want.items()}
+    common = math.gcd(*whole.values())
+    return {s: w // common for s, w in whole.items()}
+
+
+def schedule(shares: Mapping[str, int], blocks: Mapping[str, int] | None = None) -> dict[str, list[int]]:
+    """The slots that each source gets, by earliest deadline first among released blocks, until each has had
+    ``blocks``; by default as many as its share, which is one period."""
+    total = sum(shares.values())
+    names = sorted(shares)
+    need = shares if blocks is None else blocks
+    short = sum(need[s] > 0 for s in names)
     waiting = [(0, i, 0) for i in range(len(names))]  # (release, source, block)
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
     got: dict[str, list[int]] = {s: [] for s in names}
-    for t in range(period):
+    t = 0
+    while short:
         while waiting and waiting[0][0] <= t:
             _, i, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * period // slots[names[i]]), i, j))
+            heapq.heappush(ready, (-(-(j + 1) * total // shares[names[i]]), i, j))
         _, i, j = heapq.heappop(ready)
         got[names[i]].append(t)
-        if j + 1 < slots[names[i]]:
-            heapq.heappush(waiting, ((j + 1) * period // slots[names[i]], i, j + 1))
+        short -= j + 1 == need[names[i]]
+        heapq.heappush(waiting, ((j + 1) * total // shares[names[i]], i, j + 1))
+        t += 1
     return got
 
 
@@ -88,20 +99,16 @@ def _slotted(docs: DataFrame, weights: Mapping[str, float] | None, block: int, k
     """Rows of the mix with __slot and __epoch, and the number of slots."""
     rows, n = _blocks(docs, block, keep)
     spark = docs.sparkSession
-    plan, end = [], 0
-    if n:
-        slots = slots_of(n, weights)
-        period, at = sum(slots.values()), schedule(slots)
-        end = max((n[s] - 1) // slots[s] * period + at[s][(n[s] - 1) % slots[s]] for s in n) + 1
-        for s in sorted(n):
-            used = end // period * slots[s] + sum(x < end % period for x in at[s])
-            plan.append((s, n[s], slots[s], period, used, at[s]))
-    # one row for each source, and one number for each slot of the period: bounded by MOST_SLOTS
-    p = spark.createDataFrame(plan, "__s string, __n long, __k long, __period long, __used long, __at array<int>")
+    at = schedule(shares_of(n, weights), n) if n else {}
+    end = max((x[-1] for x in at.values()), default=-1) + 1
+    # one row for each source, and one number for each slot in rows of CHUNK blocks
+    p = spark.createDataFrame([(s, n[s], len(at[s])) for s in sorted(n)], "__s string, __n long, __used long")
+    q = spark.createDataFrame([(s, k // CHUNK, at[s][k : k + CHUNK]) for s in sorted(n) for k in range(0, len(at[s]), CHUNK)], "__of string, __chunk long, __at array<long>")
     rows = rows.join(F.broadcast(p), F.col("__source") == F.col("__s")).withColumn("__block", F.least("__block", F.col("__n") - 1))
     rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__used") - 1 - F.col("__block")) / F.col("__n")))))
     i = F.col("__block") + F.col("__epoch") * F.col("__n")
-    slot = F.floor(i / F.col("__k")) * F.col("__period") + F.get("__at", F.pmod(i, F.col("__k")).cast("int"))
+    rows = rows.join(F.broadcast(q), (F.col("__source") == F.col("__of")) & (F.floor(i / CHUNK) == F.col("__chunk")))
+    slot = F.get("__at", F.pmod(i, F.lit(CHUNK)).cast("int"))
     return rows.withColumn("__slot", slot), end
 
 

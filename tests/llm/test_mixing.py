@@ -1,3 +1,6 @@
+import math
+from fractions import Fraction
+
 import pytest
 
 from quillspark.llm import mixing
@@ -34,3 +37,39 @@ def test_weights(docs):
     assert max(slots.values()) > 0
     with pytest.raises(ValueError, match="positive"):
         mixing.mix(docs, {s: 0.0 for s in sources})
+
+
+def under_one_block(got, weights):
+    total = sum(map(Fraction, weights.values()))
+    end = 1 + max(ts[-1] for ts in got.values())
+    assert sorted(t for ts in got.values() for t in ts) == list(range(end))
+    for s, ts in got.items():
+        w = Fraction(weights[s]) / total
+        # the share is furthest off just before and just after a block
+        assert all(abs(j - w * t) < 1 and abs(j + 1 - w * (t + 1)) < 1 for j, t in enumerate(ts))
+        assert abs(len(ts) - w * end) < 1
+
+
+@pytest.mark.parametrize("weights", [None, {"a": math.pi, "b": 0.1, "c": 1 / 3, "d": 0.0007}])
+def test_unrounded_weights_hold_over_many_periods(weights):
+    blocks = {"a": 40_000, "b": 1234, "c": 5017, "d": 7}
+    got = mixing.schedule(mixing.shares_of(blocks, weights), blocks)
+    if weights is None:
+        top = max(blocks.values())
+        weights = {s: min(top ** (1 - mixing.ALPHA) * n**mixing.ALPHA, float(mixing.EPOCHS * n)) for s, n in blocks.items()}
+    under_one_block(got, weights)
+    assert all(len(got[s]) >= n for s, n in blocks.items())
+
+
+def test_mix_holds_unrounded_weights(docs):
+    sources = sorted(r.source for r in docs.select("source").distinct().collect())
+    weights = {s: 1 + math.sqrt(i) for i, s in enumerate(sources)}
+    rows = mixing.mix(docs, weights, block=16).collect()
+    end = 1 + max(r.slot for r in rows)
+    assert end > 20_000
+    total = sum(map(Fraction, weights.values()))
+    chars = {s: sum(len(r.text) for r in docs.where(docs.source == s).collect()) for s in sources}
+    n = {s: -(-c // 16) for s, c in chars.items()}
+    for r in rows:  # block number and slot of every row
+        j, w = r.block + r.epoch * n[r.source], Fraction(weights[r.source]) / total
+        assert math.floor(j / w) <= r.slot < math.ceil((j + 1) / w)
