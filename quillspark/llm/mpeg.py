@@ -10,8 +10,8 @@ frames.
 *Tags.*  ID3v2 (2.2 to 2.4, title and artist, with padding and footer) before the audio, repeated if so; ID3v1 and APEv2
 after it.  *Tables.*  Xing/Info (frames, bytes, the LAME delay and padding) or VBRI in the first frame; that
 frame has no audio and isn't counted.  *Checksums.*  CRC-16 over the two last header bytes and the protected bits: of
-Layer III its side information, of Layer I its bit allocation; Layer II depends on its allocation tables and is
-left unverified.  *Durations* are exact: samples, less delay and padding, with the sampling rate.
+Layer III its side information, of Layer I its bit allocation, of Layer II its bit allocation and scale factor
+selection, whose length follows from the allocation tables; one that runs out of its frame is bad.  *Durations* are exact: samples, less delay and padding, with the sampling rate.
 
 Cases: a null value gives nulls, an empty one (or one without frames) zero frames, a null rate and no offsets.
 Repeated rows each give a row.  Other columns may have any name.  Values of any length are parsed whole.
@@ -82,11 +82,15 @@ def _crc_table() -> np.ndarray:
 _CRC = _crc_table()
 
 
-def crc16(rows: np.ndarray) -> np.ndarray:
-    """CRC-16 (0x8005, from 0xFFFF) of each row of bytes."""
+def crc16(rows: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """CRC-16 (0x8005, from 0xFFFF) of the first ``bits`` of each row of bytes, by default of all."""
+    bits = rows.shape[1] * 8 if bits is None else bits
     c = np.full(len(rows), 0xFFFF, np.uint16)
-    for k in range(rows.shape[1]):
+    for k in range(bits // 8):
         c = (c << np.uint16(8)) ^ _CRC[(c >> np.uint16(8)) ^ rows[:, k]]
+    for k in range(bits % 8):
+        top = (c >> np.uint16(15)) ^ (rows[:, bits // 8] >> np.uint8(7 - k) & np.uint8(1))
+        c = (c << np.uint16(1)) ^ top * np.uint16(0x8005)
     return c
 
 
@@ -94,15 +98,40 @@ def _side(gen: int, mono: bool) -> int:
     return (17 if mono else 32) if gen == 1 else (9 if mono else 17)
 
 
+#: Bits of the allocation of each subband in Layer II: ISO 11172-3 B.2a to B.2d, and ISO 13818-3 B.1.
+_NBAL = ([4] * 11 + [3] * 12 + [2] * 4, [4] * 11 + [3] * 12 + [2] * 7, [4] * 2 + [3] * 6, [4] * 2 + [3] * 10, [4] * 4 + [3] * 7 + [2] * 19)
+
+
+def _allocation(gen: int, hz: int, kbps: int) -> list[int]:
+    """The allocation table of Layer II; kbps for each channel."""
+    if gen == 2:
+        return _NBAL[4]
+    if 56 <= kbps and (hz == 48000 or kbps <= 80):
+        return _NBAL[0]
+    if kbps >= 96:
+        return _NBAL[1]
+    return _NBAL[3 if hz == 32000 else 2]
+
+
 def _protected(data: bytes, at: int, layer: int, gen: int) -> int:
-    """Bytes after the checksum that it covers; 0 if unknown."""
+    """Bits after the checksum that it covers."""
     mode = data[at + 3] >> 6
+    bound = ((data[at + 3] >> 4 & 3) + 1) * 4 if mode == 1 else 32
     if layer == 3:
-        return _side(gen, mode == 3)
+        return _side(gen, mode == 3) * 8
     if layer == 1:
-        bound = ((data[at + 3] >> 4 & 3) + 1) * 4 if mode == 1 else 32
-        return 16 if mode == 3 else bound + (32 - bound) // 2
-    return 0
+        return 128 if mode == 3 else (bound + (32 - bound) // 2) * 8
+    channels = 1 if mode == 3 else 2
+    table = _allocation(gen, _HEAD[data[at + 1] << 8 | data[at + 2]][2], _KBPS[gen, 2][data[at + 2] >> 4] // channels)
+    body = int.from_bytes(data[at + 6 : at + 30].ljust(24, b"\0"), "big")  # at most 188 bits
+    left, select = 192, 0
+    for sb, n in enumerate(table):
+        own = channels if sb < bound else 1  # above the bound both channels share one allocation
+        for _ in range(own):
+            left -= n
+            if body >> left & (1 << n) - 1:
+                select += 2 * channels // own
+    return 192 - left + select
 
 
 def _safe(b: bytes) -> int:
@@ -219,23 +248,21 @@ def parse(data: bytes) -> tuple:
         table = "VBRI"
         table_frames = int.from_bytes(data[first + 50 : first + 54], "big")
     audio = seek[1:] if table else seek
-    good = bad = unknown = 0
+    good = bad = unknown = 0  # there is a rule for every layer
     by: dict[int, list[int]] = {}
     for p in audio:
         if not data[p + 1] & 1:
             by.setdefault(_protected(data, p, layer, gen), []).append(p)
     raw = np.frombuffer(data, np.uint8)
     for n, places in by.items():
-        if not n:
-            unknown += len(places)
-            continue
+        size = 6 + -(-n // 8)
         p = np.array(places)
-        fits = p + 6 + n <= len(raw)
-        unknown += int((~fits).sum())
+        fits = np.array([_HEAD[data[q + 1] << 8 | data[q + 2]][0] >= size for q in places])
+        bad += int((~fits).sum())
         p = p[fits]
-        cols = np.r_[2, 3, 6 + np.arange(n)]
+        cols = np.r_[2, 3, np.arange(6, size)]
         want = raw[p + 4].astype(np.uint16) << np.uint16(8) | raw[p + 5]
-        ok = int((crc16(raw[p[:, None] + cols[None, :]]) == want).sum())
+        ok = int((crc16(raw[p[:, None] + cols[None, :]], 16 + n) == want).sum())
         good, bad = good + ok, bad + len(p) - ok
     total = max(0, len(audio) * samples - skip)
     mode = "VBR" if table in ("Xing", "VBRI") or len(bits) > 1 else "CBR"
@@ -272,8 +299,8 @@ def frame(version: int, layer: int, rate: int, bit: int, mono: bool, crc: bool,
         return head + payload[: n - 4].ljust(n - 4, b"\x55")
     body = payload[: n - 6].ljust(n - 6, b"\x55")
     gen = 1 if version == 3 else 2
-    size = _protected(head, 0, layer, gen)
-    c = int(crc16(np.frombuffer(head[2:4] + body[:size], np.uint8)[None, :])[0]) if size else 0
+    bits = _protected(head + b"\0\0" + body, 0, layer, gen)
+    c = int(crc16(np.frombuffer(head[2:4] + body[: -(-bits // 8)], np.uint8)[None, :], 16 + bits)[0])
     return head + (c ^ damage).to_bytes(2, "big") + body
 
 
@@ -330,8 +357,8 @@ def synthesize(doc_id: int, source: str, text: bytes) -> tuple[bytes, dict]:
         offsets.append(p)
         p += len(f)
     data = b"".join([tag, lead, head, *frames[:middle], junk, *frames[middle:], tail, last])
-    bad = sum(k % 11 == 5 for k in range(count)) if crc and layer != 2 else 0
-    want = {"n_frames": count, "n_samples": max(0, count * spf - delay), "sample_rate": hz, "layer": layer, "channels": 1 if mono else 2, "table_kind": table, "crc_bad": bad, "crc_good": count - bad if crc and layer != 2 else 0, "resyncs": int(bool(junk)), "junk": len(junk) + len(lead), "truncated": len(tail), "seek": offsets}
+    bad = sum(k % 11 == 5 for k in range(count)) if crc else 0
+    want = {"n_frames": count, "n_samples": max(0, count * spf - delay), "sample_rate": hz, "layer": layer, "channels": 1 if mono else 2, "table_kind": table, "crc_bad": bad, "crc_good": count - bad if crc else 0, "crc_unverified": 0, "resyncs": int(bool(junk)), "junk": len(junk) + len(lead), "truncated": len(tail), "seek": offsets}
     return data, want
 
 

@@ -1,3 +1,5 @@
+import pytest
+
 from quillspark.llm import mpeg
 
 
@@ -30,3 +32,39 @@ def test_odd_rows(spark, odd, none):
     media = spark.createDataFrame([(1, b"", 5), (None, None, 6), (3, b"junk", 7)], "doc_id long, audio binary, n_frames int")
     assert sorted((r.doc_id or 0, r.n_frames) for r in mpeg.audio_columns(media).where("n_frames is not null").collect()) == [(1, 0), (3, 0)]
     assert mpeg.audio_columns(mpeg.synthetic_media(none)).count() == 0
+
+
+def crc_bits(bits):
+    c = 0xFFFF
+    for b in bits:
+        c = (c << 1 ^ (0x8005 if (c >> 15) ^ b else 0)) & 0xFFFF
+    return c
+
+
+# version, rate, bitrate index, byte with the mode, bits of the allocation, subbands: one for each table, mono and joint stereo
+@pytest.mark.parametrize(
+    ("version", "rate", "bit", "mode", "allocation", "scfsi"),
+    [
+        (3, 1, 8, 0x04, 2 * 88, 2 * 27 * 2),  # 48 kHz, 64 kbit/s a channel: B.2a
+        (3, 0, 10, 0x04, 2 * 94, 2 * 30 * 2),  # 44.1 kHz, 96 kbit/s a channel: B.2b
+        (3, 0, 10, 0xC4, 94, 30 * 2),  # mono
+        (3, 0, 10, 0x44, 94 + 16, 2 * 30 * 2),  # joint stereo, bound 4
+        (3, 0, 4, 0x04, 2 * 26, 2 * 8 * 2),  # 44.1 kHz, 32 kbit/s a channel: B.2c
+        (3, 2, 4, 0x04, 2 * 38, 2 * 12 * 2),  # 32 kHz: B.2d
+        (2, 0, 10, 0x04, 2 * 75, 2 * 30 * 2),  # MPEG-2
+    ],
+)
+def test_layer_two_checksums(version, rate, bit, mode, allocation, scfsi):
+    head = bytes([0xFF, 0xE0 | version << 3 | 4, bit << 4 | rate << 2, mode])
+    n = mpeg._HEAD[head[1] << 8 | head[2]][0]
+    names = mpeg._ARROW.names
+    for fill, size in ((b"\0", allocation), (b"\xff", allocation + scfsi)):
+        body = fill * (n - 6)
+        bits = [b >> k & 1 for b in head[2:4] + body for k in range(7, -1, -1)][: 16 + size]
+        good = head + crc_bits(bits).to_bytes(2, "big") + body
+        inside, outside = bytearray(good), bytearray(good)
+        inside[6 + (size - 1) // 8] ^= 128 >> (size - 1) % 8
+        outside[6 + size // 8] ^= 128 >> size % 8
+        for data, want in ((good, (2, 0, 0)), (bytes(outside), (2, 0, 0)), (bytes(inside), (1, 1, 0))):
+            got = dict(zip(names, mpeg.parse(good + data), strict=True))
+            assert (got["crc_good"], got["crc_bad"], got["crc_unverified"]) == want
