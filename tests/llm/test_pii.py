@@ -1,7 +1,11 @@
+import itertools
+import random
+
 import numpy as np
 import pytest
 
 from quillspark.llm import pii
+from quillspark.llm.pretokens import codepoints
 
 
 @pytest.fixture(scope="module")
@@ -9,36 +13,136 @@ def model():
     return pii.train()
 
 
+def found(model, text):
+    return [(text[a:z], pii.KINDS[k]) for a, z, k in zip(*pii.spans([text], model)[1:], strict=True)]
+
+
 def test_gradient_against_differences():
     rng = np.random.default_rng(1)
     p = {n: (v + rng.normal(size=v.shape) * 0.05).astype(np.float64) for n, v in pii.train(1, 2, 3).p.items()}
-    x, y = rng.integers(0, 90, (2, 7)), rng.integers(0, 6, (2, 7))
+    x, y = rng.integers(0, 90, (7, 2)), rng.integers(0, pii.LABELS, (7, 2))
     _, grad = pii.Model(p).gradient(x, y)
-    for name in ("wo", "trans", "wh", "wx", "embed"):
-        at = tuple(rng.integers(0, s) for s in p[name].shape) if name != "embed" else (int(x[0, 0]), 1)
-        values = []
-        for step in (0.02, -0.02):
-            q = {n: v.copy() for n, v in p.items()}
-            q[name][at] += step
-            values.append(pii.Model(q).gradient(x, y)[0])
-        assert abs((values[0] - values[1]) / 0.04 - grad[name][at]) < 0.02 + 0.05 * abs(grad[name][at]), name
+    for name, v in p.items():
+        ats = [tuple(int(rng.integers(0, s)) for s in v.shape) for _ in range(6)] if name != "embed" else [(int(x[i, 0]), i) for i in range(6)]
+        for at in ats:
+            values = []
+            for step in (1e-5, -1e-5):
+                q = {n: a.copy() for n, a in p.items()}
+                q[name][at] += step
+                values.append(pii.Model(q).gradient(x, y)[0])
+            assert abs((values[0] - values[1]) / 2e-5 - grad[name][at]) < 1e-4 + 1e-3 * abs(grad[name][at]), (name, at)
+
+
+def test_decoding_against_all_labellings():
+    rng = np.random.default_rng(5)
+    private = 0
+    for _ in range(200):
+        k, t, n = 5, 6, 3
+        p = {"embed": np.zeros((4, pii.EMBED), np.float32), "w": np.zeros((2, 4 * pii.HIDDEN, pii.HIDDEN + pii.EMBED), np.float32), "trans": rng.normal(size=(k, k)).astype(np.float32)}
+        e = rng.normal(size=(t, k, n)).astype(np.float32) * 1.5
+        e[:, 0] += rng.integers(0, 4)
+        size = rng.integers(1, t + 1, n)
+        got = pii.Model(p).decode(e, size)
+        for j in range(n):
+            score = lambda y: sum(e[i, c, j] for i, c in enumerate(y)) + sum(p["trans"][a, b] for a, b in itertools.pairwise(y))  # noqa: B023, E731
+            best = max(itertools.product(range(k), repeat=int(size[j])), key=score)
+            assert list(best) == got[: size[j], j].tolist()
+            private += any(best)
+    assert 0 < private < 600
+
+
+def test_proven_outside_equals_viterbi_of_every_window(model, docs):
+    texts = [r.text for r in docs.select("text").collect() if r.text]
+    cp, off = codepoints(texts)
+    lengths = np.diff(off)
+    w = np.argsort(-lengths, kind="stable")[len(lengths) // 2 :][:64]
+    n = lengths[w]
+    x = pii.symbols(cp)[off[w] + np.minimum(np.arange(int(n[0]))[:, None], n - 1)]
+    e = model.emissions(x, n)
+    no = np.zeros(len(w), bool)
+    whole = model.viterbi(e, n, no, no)
+    assert (model.decode(e, n) == whole).all()
+
+
+def test_windows_equal_whole_texts(model, docs, monkeypatch):
+    """Cut in windows of the grid or decoded as one window, texts have the same labels."""
+    rows = [r.text for r in docs.select("text").orderBy("doc_id").collect() if r.text and len(r.text) < 20_000]
+    rows += [pii.example(np.random.default_rng(k), 3000)[0] for k in range(8)]
+    cut = pii.spans(rows, model)
+    monkeypatch.setattr(pii, "CORE", 1 << 20)
+    monkeypatch.setattr(pii, "LANES", 4)
+    whole = pii.spans(rows, model)
+    a, b = (set(zip(x[0].tolist(), *x[1:], strict=True)) for x in (cut, whole))
+    assert len(b) > 100
+    assert len(a ^ b) <= 0.02 * len(b)  # context is bounded, so a few labels may hang on more of it
 
 
 def test_held_out_spans(model):
     rng = np.random.default_rng(99)
-    hit = total = found = 0
+    hit = total = said = 0
     for _ in range(150):
         text, label = pii.example(rng, 600)
         _, s, e, k = pii.spans([text], model)
         got = np.zeros(len(text), int)
         for a, z, c in zip(s, e, k, strict=True):
             got[a:z] = c + 1
+        want = (label + 1) // 2
         sure = np.array([c.isalnum() for c in text])
-        hit += int(((got == label) & (label > 0) & sure).sum())
-        total += int(((label > 0) & sure).sum())
-        found += int(((got > 0) & sure).sum())
-    assert hit / total >= 0.9
-    assert hit / found >= 0.9
+        hit += int(((got == want) & (want > 0) & sure).sum())
+        total += int(((want > 0) & sure).sum())
+        said += int(((got > 0) & sure).sum())
+    assert hit / total >= 0.95
+    assert hit / said >= 0.95
+
+
+def test_spans_of_another_generator(model):
+    """Plain English sentences and items made here, not by the generator of the training."""
+    rng = random.Random(4)
+    words = "the old mill stood by a quiet river while farmers carried grain along its narrow path and children watched boats drift under bridges of stone".split()
+    d = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    kinds = {
+        "email": lambda: f"{rng.choice(words)}.{rng.choice(words)}{d(2)}@{rng.choice(words)}.org",
+        "ip": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "phone": lambda: f"+1 ({d(3)}) {d(3)}-{d(4)}",
+        "card": lambda: d(16),
+        "identity": lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        "iban": lambda: f"DE{d(2)}{d(18)}",
+        "secret": lambda: "".join(rng.choice("0123456789abcdef") for _ in range(40)),
+    }
+    hit, total, extra = dict.fromkeys(kinds, 0), 40, 0
+    for kind, make in kinds.items():
+        for _ in range(total):
+            item = make()
+            before, after = (" ".join(rng.choice(words) for _ in range(rng.randrange(5, 60))) for _ in range(2))
+            text = f'{before} token = "{item}" {after}.' if kind == "secret" else f"{before} {item} {after}."
+            got = found(model, text)
+            hit[kind] += (item, kind) in got
+            extra += sum(x[0] not in item and item not in x[0] for x in got)
+    assert min(hit.values()) >= 0.8 * total, hit
+    assert extra <= 0.02 * total * len(kinds)
+    clean = [" ".join(rng.choice(words) for _ in range(rng.randrange(20, 400))) + "." for _ in range(300)]
+    assert len(set(pii.spans(clean, model)[0].tolist())) <= 3
+
+
+def test_items_side_by_side_are_two(model):
+    assert found(model, "cards 7536784127813050 4845168114407329 of two") == [("7536784127813050", "card"), ("4845168114407329", "card")]
+    assert found(model, "from 10.20.30.40 81.204.30.7 here") == [("10.20.30.40", "ip"), ("81.204.30.7", "ip")]
+
+
+def test_secrets_without_a_digit(model):
+    text = 'set token = "qwlvbkzjhxmpfrtycnsdgaoeuiqmzpwk" here'
+    assert ("qwlvbkzjhxmpfrtycnsdgaoeuiqmzpwk", "secret") in found(model, text)
+
+
+def test_long_items_at_every_offset_of_the_grid(model):
+    """A local part longer than the context, with its begin anywhere about the edge of a core."""
+    item = "bartholomew.featherstone.of.the.northern.hills.77@mail3.example.com"
+    lost = 0
+    for shift in range(-len(item) - 8, 9, 3):
+        filler = ("plain words stand here " * 60)[: pii.CORE + shift - 1] + " "
+        got = [x for x, k in found(model, filler + item + " and go on with it") if k == "email"]
+        lost += "@" not in "".join(got) or len("".join(got)) < 0.6 * len(item)
+    assert lost <= 2
 
 
 def test_long_texts_equal_their_place_in_the_grid(model):
