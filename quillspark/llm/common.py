@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
@@ -26,15 +26,18 @@ STEP_BYTES = 1 << 20
 def prepare(spark: SparkSession) -> SparkSession:
     """Let Python workers import this package, and make sure that a checkpoint folder is set.
 
-    ``spark.checkpoint.dir`` is read from the session; a folder of our own is made only where it is
-    unset (single-machine sessions and tests).
+    ``spark.checkpoint.dir`` is read from the session.  Where it is unset, a session on one machine gets a folder
+    of its own; on a cluster that is an error, since a machine's own folder isn't shared.
     """
     sc = spark.sparkContext
     paths = [p for p in sc.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         sc.environment["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillspark-"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="quillspark-"))
     return spark
 
 
@@ -61,8 +64,14 @@ def keep_rows(docs: DataFrame, drop: DataFrame, key: str, n_drop: int, limit: in
     ``n_drop`` is the counted size of ``drop``: up to ``limit`` keys (about 16 MB) are broadcast, so
     the texts don't move; beyond that the join shuffles.  Rows with a null key stay.
     """
-    drop = drop.select(F.col(key).alias("__drop")).distinct()
-    return docs.join(F.broadcast(drop) if n_drop <= limit else drop, docs[key] == F.col("__drop"), "left_anti")
+    drop = drop.select(F.col(key).alias("drop")).distinct()
+    rows = packed(docs, key=F.col(key))
+    return rows.join(F.broadcast(drop) if n_drop <= limit else drop, F.col("key") == F.col("drop"), "left_anti").select("row.*")
+
+
+def packed(docs: DataFrame, keep: list[str] | None = None, **columns: Column) -> DataFrame:
+    """The columns ``keep`` (all) as one column ``row``, and ``columns`` beside it: no name of ``docs`` can clash."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in keep or docs.columns)).alias("row"), *(c.alias(n) for n, c in columns.items()))
 
 
 # ---------------------------------------------------------------- bytes of many documents
@@ -99,6 +108,61 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+#: Primes below 2^31 and bases for hashes of ranges.
+_FIELDS = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_664_525_013))
+_FIELD_POW: list[np.ndarray] = []
+
+
+def _field_powers(n: int) -> list[np.ndarray]:
+    """For each prime the powers of its base and of the base's inverse."""
+    if not _FIELD_POW or len(_FIELD_POW[0]) < n:
+        m, made = max(n, 1 << 16), []
+        for p, base in _FIELDS:
+            for b in (base, pow(base, -1, p)):
+                a = np.ones(m, np.uint64)
+                have = 1
+                while have < m:
+                    take = min(have, m - have)
+                    a[have : have + take] = a[:take] * np.uint64(pow(b, have, p)) % np.uint64(p)
+                    have += take
+                made.append(a)
+        _FIELD_POW[:] = made
+    return _FIELD_POW
+
+
+class Ranges:
+    """64-bit hashes of ranges of a sequence of numbers, by prefix sums of polynomials modulo two primes.
+
+    Unlike polynomials modulo 2^64 they don't collide for sequences as regular as Thue-Morse words.  Of the numbers
+    each prime takes 32 bits, the low and the high ones, or both the low ones where there are no others.
+    """
+
+    def __init__(self, numbers: np.ndarray, wide: bool = False) -> None:
+        n = len(numbers)
+        self.pow, self.sums = _field_powers(n + 1), []
+        for k, (p, _) in enumerate(_FIELDS):
+            s = np.zeros(n + 1, np.uint64)
+            values = (numbers >> np.uint64(32) if k else numbers & np.uint64(0xFFFFFFFF)) if wide else numbers
+            np.cumsum(values * self.pow[2 * k + 1][:n] % np.uint64(p), out=s[1:])
+            self.sums.append(s)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = ((s[end] - s[start]) % np.uint64(p) * self.pow[2 * k][start] % np.uint64(p) for k, (s, (p, _)) in enumerate(zip(self.sums, _FIELDS, strict=True)))
+        return mix((a << np.uint64(32) | b) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def equal_ranges(a: np.ndarray, at: np.ndarray, b: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a[at[i] : at[i] + size[i]] equals b[other[i] : other[i] + size[i]]."""
+    out = np.ones(len(size), bool)
+    total = int(size.sum())
+    if total:
+        inside = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
+        differ = a[np.repeat(at, size) + inside] != b[np.repeat(other, size) + inside]
+        if differ.any():
+            out[np.repeat(np.arange(len(size)), size)[differ]] = False
+    return out
+
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -140,17 +204,13 @@ class Texts:
         self.start = np.flatnonzero(first)
         self.end = np.flatnonzero(last) + 1
         self.doc = np.searchsorted(self.off, self.start, side="right") - 1
-        self._sum: np.ndarray | None = None
+        self._ranges: Ranges | None = None
 
     def hashes(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """64-bit hashes of the folded byte ranges."""
-        p, inv = _powers(len(self.raw) + 1)
-        if self._sum is None:
-            s = np.empty(len(self.raw) + 1, np.uint64)
-            s[0] = 0
-            np.cumsum((self.folded.astype(np.uint64) + np.uint64(1)) * inv[: len(self.raw)], out=s[1:])
-            self._sum = s
-        return mix((self._sum[end] - self._sum[start]) * p[start] + (end - start).astype(np.uint64))
+        if self._ranges is None:
+            self._ranges = Ranges(self.folded.astype(np.uint64) + np.uint64(1))
+        return self._ranges.of(start, end)
 
     def words_of(self) -> np.ndarray:
         """Offsets of each document's words: document i has the words [w[i], w[i + 1])."""

@@ -39,14 +39,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import Texts, _powers, mix, prepare, steps, table, written
+from quillspark.llm.common import Ranges, Texts, mix, prepare, steps, table, written
 
 PASSAGE = 50
 GRAM = 25
 RUN = 40_000
 SAMPLE_BYTES = 48
+#: Bytes of text within which a task finds repeated sequences by itself.
+GROUP = 8 << 20
 #: Suffixes that one range has on average.
 RANGE = 40_000
+#: Sampled keys that come to the driver for the splitters, about.
+DRAWN = 1_000_000
 
 
 class Words:
@@ -58,13 +62,10 @@ class Words:
         self.edge = t.words_of()
         n = len(t.start)
         self.h = t.hashes(t.start, t.end) if n else np.zeros(0, np.uint64)
-        p, inv = _powers(n + 1)
-        self.p = p
-        self.sum = np.zeros(n + 1, np.uint64)
-        np.cumsum((self.h | np.uint64(1)) * inv[:n], out=self.sum[1:])
+        self.ranges = Ranges(self.h, wide=True)
 
     def sequences(self, start: np.ndarray, words: int) -> np.ndarray:
-        return mix((self.sum[start + words] - self.sum[start]) * self.p[start] + np.uint64(words))
+        return self.ranges.of(start, start + words)
 
     def chosen(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(place, first window, last window, hash of the sequence at the place), as word offsets of all texts."""
@@ -214,19 +215,38 @@ def _twice(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def places(docs: DataFrame, passage: int, gram: int) -> DataFrame:
-    """(h, doc_id, place, first, last) of the suffixes whose first words occur at least twice."""
+    """(h, doc_id, place, first, last) of the suffixes whose first words occur at least twice.
+
+    A group of ``GROUP`` bytes of text sends one place of each hash to the count, keyed by the hash; the others of the
+    group are known to be repeated and are spread by themselves, so no boilerplate gathers in one task.
+    """
+
+    def group(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        h, ids, at, lo, hi = (np.concatenate(x) for x in zip(*held, strict=True))
+        again, lead = _twice(h)
+        key = np.where(lead, h, mix(h ^ np.arange(len(h), dtype=np.uint64) ^ ids.astype(np.uint64)))
+        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(lead), pa.array(again), pa.array(h.view(np.int64)), pa.array(ids), *(pa.array(x.astype(np.int32)) for x in (at, lo, hi))], ["key", "lead", "again", "h", "doc_id", "place", "first", "last"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
         for batch in batches:
             for b in steps(batch, "text"):
                 w = Words(b.column("text"), passage, gram)
                 at, lo, hi, h = w.chosen()
                 doc = w.t.doc[at]
                 base = w.edge[doc]
-                ids = b.column("doc_id").to_numpy(zero_copy_only=False)[doc]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids), *(pa.array((x - base).astype(np.int32)) for x in (at, lo, hi))], ["h", "doc_id", "place", "first", "last"])
+                held.append((h, b.column("doc_id").to_numpy(zero_copy_only=False)[doc], at - base, lo - base, hi - base))
+                size += len(w.t.raw)
+                if size >= GROUP:
+                    yield group(held)
+                    held, size = [], 0
+        if held:
+            yield group(held)
 
-    return docs.mapInArrow(run, "h long, doc_id long, place int, first int, last int").withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").drop("n")
+    found = docs.mapInArrow(run, "key long, lead boolean, again boolean, h long, doc_id long, place int, first int, last int")
+    n = F.count(F.when(F.col("lead"), 1)).over(Window.partitionBy("key"))
+    return found.withColumn("n", n).where("again or n > 1").select("h", "doc_id", "place", "first", "last")
 
 
 def runs_of(docs: DataFrame, kept: DataFrame, passage: int, gram: int) -> DataFrame:
@@ -352,9 +372,9 @@ def repeated_passages(docs: DataFrame, passage: int = PASSAGE, gram: int = GRAM)
     kept = written(places(src, passage, gram), "places")
     runs = written(runs_of(src, kept, passage, gram), "runs")
     n = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    parts = max(1, min(10_000, n // RANGE))
+    parts = max(1, n // RANGE)
     taken = runs.select(F.explode("sample").alias("s"))
-    every = max(1, n // max(1, RANGE // 400) // (parts * 200))
+    every = max(1, n // max(1, RANGE // 400) // min(parts * 200, DRAWN))
     drawn = sorted(bytes(r.s) for r in taken.where(F.pmod(F.xxhash64("s"), F.lit(every)) == 0).collect()) if parts > 1 else []
     splitters = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}) if drawn else []
     alone = runs.select(F.explode(F.arrays_zip("doc", "lo", "hi")).alias("z")).select(F.col("z.doc").alias("doc_id"), F.col("z.lo").alias("lo"), F.col("z.hi").alias("hi"))

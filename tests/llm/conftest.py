@@ -1,11 +1,11 @@
 import pytest
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id long, rank long, key string, h long, n long, place int, first int, slot long, block long, epoch long, start long, kind string, ids string, kept_doc_id long, shard int, `row` int, a long, b long"
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, id long, rank long, key string, h long, n long, place int, first int, slot long, block long, epoch long, start long, kind string, ids string, kept_doc_id long, shard int, `row` int, a long, b long, __source string, __order string, __bucket string, __slot long, __drop long, `drop` long, source_ string, s string, of string, at array<long>, part int, used long, place_ long"
 LONG = "lorem ipsum dolor sit amet 12 " * 20_000
 
 
 def row(i, text, lang="en", source="web"):
-    return (i, text, lang, source, None if text is None else len(text), *([7] * 2), "k", *([7] * 2), 1, 1, *([7] * 4), "k", "x", 7, 1, 1, 7, 7)
+    return (i, text, lang, source, None if text is None else len(text), *([7] * 2), "k", *([7] * 2), 1, 1, *([7] * 4), "k", "x", 7, 1, 1, 7, 7, "s", "o", "b", 7, 7, 7, "s", "s", "o", [7], 1, 7, 7)
 
 
 @pytest.fixture(scope="session")
