@@ -10,8 +10,8 @@ start that the next chunk has itself; from there on the chunk's tokens are exact
 from left to right and looks ahead at most ``AHEAD`` characters.  The ids equal those of encoding the
 whole text at once, whatever the cuts.
 
-Cases: a null text has null ids, an empty one an empty list.  Repeated rows each give a row.  Any other
-column is left alone.  Texts of any length are encoded whole; memory follows the longest text.
+Cases: a null text has null ids, an empty one an empty list.  Repeated rows each give a row.  An empty table gives
+no rows.  ``doc_id`` and ``text`` are read; other columns may have any name and aren't returned.  Texts of any length are encoded whole; memory follows the longest text.
 """
 
 from __future__ import annotations
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import _powers, mix, prepare, steps, table
+from quillspark.llm.common import _powers, equal_ranges, mix, prepare, steps, table
 from quillspark.llm.pretokens import VOCABULARY, codepoints, encoding, ranks_of, starts
 from quillspark.llm.token_counts import hash_ranges
 
@@ -64,31 +65,47 @@ class Encoder:
 
     def clear_pieces(self) -> None:
         self.known: dict[int, int] = {}
-        self.flat = np.zeros(1 << 16, np.int32)
-        self.edge = np.zeros(PIECE_CACHE * 2 + 1, np.int64)
+        self.pieces = 0
+        self.flat, self.chars = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.uint32)
+        self.edge, self.char_edge = (np.zeros(PIECE_CACHE * 2 + 1, np.int64) for _ in range(2))
+
+    def keep(self, piece: np.ndarray) -> int:
+        """Encode a pre-token and keep its ids and its characters; returns its number."""
+        got = self.enc.encode_ordinary(piece.tobytes().decode("utf-32-le", "surrogatepass"))
+        n = self.pieces
+        if n + 1 >= len(self.edge):
+            self.edge, self.char_edge = (np.r_[x, np.zeros_like(x)] for x in (self.edge, self.char_edge))
+        lo, at = int(self.edge[n]), int(self.char_edge[n])
+        while lo + len(got) > len(self.flat):
+            self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
+        while at + len(piece) > len(self.chars):
+            self.chars = np.r_[self.chars, np.zeros_like(self.chars)]
+        self.flat[lo : lo + len(got)], self.chars[at : at + len(piece)] = got, piece
+        self.edge[n + 1], self.char_edge[n + 1] = lo + len(got), at + len(piece)
+        self.pieces += 1
+        return n
 
     def plain(self, cp: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, index) of the pre-tokens that start at ``at``; each distinct one is merged once."""
+        """(ids, index) of the pre-tokens that start at ``at``; each distinct one is merged once.
+
+        A hash finds the kept pre-token, whose characters are compared; one that only shares the hash is merged for itself.
+        """
         if not len(at):
             return np.zeros(0, np.int32), np.zeros(1, np.int64)
-        end = np.r_[at[1:], len(cp)]
-        u, first, inv = np.unique(hash_ranges(cp, at, end), return_index=True, return_inverse=True)
-        if len(self.known) > PIECE_CACHE:
+        size = np.diff(np.r_[at, len(cp)])
+        u, first, inv = np.unique(hash_ranges(cp, at, at + size), return_index=True, return_inverse=True)
+        if self.pieces > PIECE_CACHE:
             self.clear_pieces()
         known = self.known
-        which = np.fromiter((known.get(x, -1) for x in u.tolist()), np.int64, len(u))
-        for k in np.flatnonzero(which < 0).tolist():
-            got = self.enc.encode_ordinary(cp[at[first[k]] : end[first[k]]].tobytes().decode("utf-32-le", "surrogatepass"))
-            n = len(known)
-            if n + 1 >= len(self.edge):
-                self.edge = np.r_[self.edge, np.zeros_like(self.edge)]
-            lo = self.edge[n]
-            while lo + len(got) > len(self.flat):
-                self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-            self.flat[lo : lo + len(got)] = got
-            self.edge[n + 1] = lo + len(got)
-            which[k] = known[int(u[k])] = n
-        which = which[inv]
+        found = np.fromiter((known.get(x, -1) for x in u.tolist()), np.int64, len(u))
+        for k in np.flatnonzero(found < 0).tolist():
+            lo = at[first[k]]
+            found[k] = known[int(u[k])] = self.keep(cp[lo : lo + size[first[k]]])
+        which = found[inv]
+        odd = self.char_edge[which + 1] - self.char_edge[which] != size
+        odd[~odd] = ~equal_ranges(cp, at[~odd], self.chars, self.char_edge[which[~odd]], size[~odd])
+        for k in np.flatnonzero(odd).tolist():
+            which[k] = self.keep(cp[at[k] : at[k] + size[k]])
         lo = self.edge[which]
         size = self.edge[which + 1] - lo
         index = np.zeros(len(at) + 1, np.int64)
@@ -179,10 +196,14 @@ def _lists(rows: list[np.ndarray | None]) -> pa.Array:
     return pa.ListArray.from_buffers(pa.list_(pa.int32()), len(rows), [pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()), pa.py_buffer(off)], children=[pa.array(values)])
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, ids, n_tokens, exact) for every row; ``exact`` says that decoding gave the text again."""
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, place: list[str] | None = None) -> DataFrame:
+    """(doc_id, ids, n_tokens, exact) for every row; ``exact`` says that decoding gave the text again.
+
+    ``place``: names of columns of ``docs`` to return as well, longs.
+    """
     spark = prepare(docs.sparkSession)
     shared = spark.sparkContext.broadcast(ranks_of(vocabulary))
+    place = place or []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(vocabulary, shared.value)
@@ -193,10 +214,10 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
                 ids = [None if t is None else next(got) for t in texts]
                 exact = [None if t is None else encoder.decode_bytes(x) == t.encode() for t, x in zip(texts, ids, strict=True)]
                 n = [None if x is None else len(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids), pa.array(n, pa.int64()), pa.array(exact, pa.bool_())], ["doc_id", "ids", "n_tokens", "exact"])
+                yield pa.RecordBatch.from_arrays([b.column("doc_id"), _lists(ids), pa.array(n, pa.int64()), pa.array(exact, pa.bool_()), *(b.column(c) for c in place)], ["doc_id", "ids", "n_tokens", "exact", *place])
 
-    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return src.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, exact boolean")
+    src = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *place)
+    return src.mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, exact boolean" + "".join(f", {c} long" for c in place))
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -219,7 +240,29 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(table(spark, sf_dir, "documents"))
 
 
+#: Rows of a file that its number leaves room for in ``place``.
+_FILE_ROWS = 1 << 40
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, place) of a written table: ``place`` orders rows as its writer did, by file and row.
+
+    Tasks number their files in the order of partitions (``part-00012-...``).  Where ``docs`` isn't read from such files
+    ``place`` is null.
+    """
+    cols = [F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    try:
+        number = F.regexp_extract("_metadata.file_name", r"^part-(\d+)", 1).try_cast("long")
+        return docs.select(*cols, (number * _FILE_ROWS + F.col("_metadata.row_index")).alias("place"))
+    except AnalysisException:  # no file source below
+        return docs.select(*cols, F.lit(None).cast("long").alias("place"))
+
+
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what the pipeline kept: the training rows."""
+    """Token ids of what the pipeline kept: the training rows.
+
+    Files are read in splits of any order; ``place`` keeps the order in which the mix was written, and sorting by it gives
+    the mix again.
+    """
     prepare(spark)
-    return encode(docs)
+    return encode(placed(docs), place=["place"])

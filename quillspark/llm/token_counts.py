@@ -1,10 +1,11 @@
 """Token counts of whole documents without moving any pre-token.
 
-Two tiers, both on the map side.  A compact hash table (open addressing in three arrays) has the token
-counts of frequent pre-tokens: those that are tokens of the vocabulary themselves, and the frequent ones
-of a bounded sample of documents (``SAMPLE`` rows).  It only saves time; it never decides a count.  Its
-size is bounded by ``SLOTS``, so the broadcast doesn't grow with the corpus.  A pre-token that it lacks is
-encoded once for each worker and kept in the worker's cache, which is emptied at ``CACHE`` entries.
+Two tiers, both on the map side.  A compact hash table (open addressing in flat arrays) has the token
+counts and the characters of frequent pre-tokens: those that are tokens of the vocabulary themselves, and the
+frequent ones of a bounded sample of documents (``SAMPLE`` rows, those whose ids hash lowest).  A hash only finds
+the place; the characters are compared, so a count never hangs on a hash.  The table's size is bounded by ``SLOTS``
+and ``LONGEST``, so the broadcast doesn't grow with the corpus.  A pre-token that it lacks is encoded once for each
+worker and kept, by its characters, in the worker's cache, which is emptied at ``CACHE`` entries.
 
 Cases: a null text has a null count, an empty one 0.  Repeated rows each give a row.  Rows with a null
 ``doc_id`` are counted too.  Only ``doc_id`` and ``text`` are read.  No text is cut.
@@ -20,16 +21,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import _powers, mix, prepare, steps, table
+from quillspark.llm.common import _powers, equal_ranges, mix, prepare, steps, table
 from quillspark.llm.pretokens import VOCABULARY, codepoints, encoding, ranks_of, starts
 
 SAMPLE = 400
 SLOTS = 1 << 18
 CACHE = 400_000
+LONGEST = 64
 _worker: dict = {}
 
 
 def hash_ranges(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes that find places; different ranges may share one."""
     p, inv = _powers(len(cp) + 1)
     s = np.empty(len(cp) + 1, np.uint64)
     s[0] = 0
@@ -39,58 +42,67 @@ def hash_ranges(cp: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return h
 
 
-def build_table(pieces: dict[str, int], slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, counts): linear probing over at most two slots; what finds no slot is left out."""
-    cp, off = codepoints(list(pieces))
-    h = hash_ranges(cp, off[:-1], off[1:])
-    n = np.fromiter(pieces.values(), np.int64, len(pieces))
-    ok = n < 65536
-    h, n = h[ok], n[ok]
-    keys, counts = np.zeros(slots, np.uint64), np.zeros(slots, np.uint16)
-    for probe in range(2):
-        slot = ((h + np.uint64(probe)) & np.uint64(slots - 1)).astype(np.int64)
-        free = keys[slot] == 0
-        _, first = np.unique(slot[free], return_index=True)
-        take = np.flatnonzero(free)[first]
-        keys[slot[take]], counts[slot[take]] = h[take], n[take]
-        left = np.setdiff1d(np.arange(len(h)), take)
-        h, n = h[left], n[left]
-    return keys, counts
-
-
-def look_up(tab: tuple[np.ndarray, np.ndarray], h: np.ndarray) -> np.ndarray:
-    """Counts, 0 where the table has none."""
-    keys, counts = tab
-    low = np.uint64(len(keys) - 1)
-    slot = (h & low).astype(np.int64)
-    out = np.where(keys[slot] == h, counts[slot], 0).astype(np.int64)
-    miss = np.flatnonzero(out == 0)
-    slot = ((h[miss] + np.uint64(1)) & low).astype(np.int64)
-    out[miss] = np.where(keys[slot] == h[miss], counts[slot], 0)
-    return out
-
-
-def count_tokens(texts: list[str], tab: tuple[np.ndarray, np.ndarray], enc, cache: dict[int, int]) -> np.ndarray:  # noqa: ANN001
+class Table:
+    """Counts by pre-token: linear probing over at most two slots; what finds no slot is left out."""
+
+    def __init__(self, pieces: dict[str, int], slots: int = SLOTS) -> None:
+        kept = {p: k for p, k in pieces.items() if 0 < k < 65536 and len(p) <= LONGEST}
+        n = np.fromiter(kept.values(), np.int64, len(kept))
+        self.chars, off = codepoints(list(kept))
+        self.keys, self.counts = np.zeros(slots, np.uint64), np.zeros(slots, np.uint16)
+        self.at, self.size = np.zeros(slots, np.int32), np.zeros(slots, np.uint8)
+        h, left = hash_ranges(self.chars, off[:-1], off[1:]), np.arange(len(kept))
+        for probe in range(2):
+            slot = ((h[left] + np.uint64(probe)) & np.uint64(slots - 1)).astype(np.int64)
+            free = self.keys[slot] == 0
+            _, first = np.unique(slot[free], return_index=True)
+            took = np.flatnonzero(free)[first]
+            slot, which = slot[took], left[took]
+            self.keys[slot], self.counts[slot] = h[which], n[which]
+            self.at[slot], self.size[slot] = off[which], off[which + 1] - off[which]
+            left = np.delete(left, took)
+
+    def look_up(self, h: np.ndarray, cp: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Counts of the ranges with these hashes, 0 where the table has none."""
+        low = np.uint64(len(self.keys) - 1)
+        out = np.zeros(len(h), np.int64)
+        left = np.arange(len(h))
+        for probe in range(2):
+            slot = ((h[left] + np.uint64(probe)) & low).astype(np.int64)
+            hit = np.flatnonzero((self.keys[slot] == h[left]) & (self.size[slot] == size[left]))
+            i, slot = left[hit], slot[hit]
+            same = equal_ranges(cp, start[i], self.chars, self.at[slot], size[i])
+            out[i[same]] = self.counts[slot[same]]
+            left = np.delete(left, hit[same])
+        return out
+
+
+def count_tokens(texts: list[str], tab: Table, enc, cache: dict[str, int]) -> np.ndarray:  # noqa: ANN001
     cp, off = codepoints(texts)
     s = starts(cp, off)
     if not len(s):
         return np.zeros(len(texts), np.int64)
-    e = np.r_[s[1:], len(cp)]
-    h = hash_ranges(cp, s, e)
-    n = look_up(tab, h)
+    size = np.diff(np.r_[s, len(cp)])
+    h = hash_ranges(cp, s, s + size)
+    n = tab.look_up(h, cp, s, size)
     miss = np.flatnonzero(n == 0)
     if len(miss):
-        u, first, inv = np.unique(h[miss], return_index=True, return_inverse=True)
-        known = [cache.get(x) for x in u.tolist()]
-        new = [k for k, x in enumerate(known) if x is None]
-        if new:
-            at = miss[first[new]]
-            pieces = [cp[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(s[at].tolist(), e[at].tolist(), strict=True)]
-            if len(cache) + len(new) > CACHE:
-                cache.clear()
-            for k, piece in zip(new, pieces, strict=True):
-                known[k] = cache[int(u[k])] = len(enc.encode_ordinary(piece))
-        n[miss] = np.array(known, np.int64)[inv]
+        _, first, inv = np.unique(h[miss], return_index=True, return_inverse=True)
+        lead = miss[first[inv]]
+        odd = size[lead] != size[miss]
+        odd[~odd] = ~equal_ranges(cp, s[miss[~odd]], cp, s[lead[~odd]], size[miss[~odd]])
+        which = np.r_[miss[first], miss[odd]]  # one of each hash, and all that differ from it
+        pieces = [cp[a:z].tobytes().decode("utf-32-le", "surrogatepass") for a, z in zip(s[which].tolist(), (s + size)[which].tolist(), strict=True)]
+        if len(cache) + len(pieces) > CACHE:
+            cache.clear()
+        got = np.zeros(len(pieces), np.int64)
+        for k, piece in enumerate(pieces):
+            c = cache.get(piece)
+            if c is None:
+                c = cache[piece] = len(enc.encode_ordinary(piece))
+            got[k] = c
+        n[miss] = got[: len(first)][inv]
+        n[miss[odd]] = got[len(first) :]
     total = np.r_[0, np.cumsum(n)]
     return np.diff(total[np.searchsorted(s, off)])
 
@@ -99,11 +111,12 @@ def frequent(docs: DataFrame, ranks: dict[bytes, int], sample: int = SAMPLE, slo
     """Pre-tokens and their counts of tokens for the table, at most half of its slots."""
     enc = encoding(ranks)
     pieces: dict[str, int] = {}
-    for r in docs.select("text").where("text <> ''").limit(sample).collect():
+    order = F.xxhash64(F.col("doc_id").cast("long"))
+    for r in docs.select(F.col("text").cast("string").alias("text"), order.alias("order")).where("text <> ''").orderBy("order", "text").limit(sample).collect():
         cp, off = codepoints([r.text])
         s = starts(cp, off).tolist()
         for a, b in zip(s, [*s[1:], len(r.text)], strict=True):
-            if b - a <= 64:
+            if b - a <= LONGEST:
                 pieces[r.text[a:b]] = pieces.get(r.text[a:b], 0) + 1
     most = sorted(pieces, key=lambda x: (-pieces[x], x))[: slots // 4]
     found = dict.fromkeys(most, 0)
@@ -124,7 +137,7 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, sample: int = SA
     """(doc_id, n_tokens) for every row of ``docs``."""
     spark = prepare(docs.sparkSession)
     ranks = ranks_of(vocabulary)
-    shared = spark.sparkContext.broadcast((ranks, build_table(frequent(docs, ranks, sample))))
+    shared = spark.sparkContext.broadcast((ranks, Table(frequent(docs, ranks, sample))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks, tab = shared.value

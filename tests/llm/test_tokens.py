@@ -52,5 +52,28 @@ def test_odd_rows(odd, none):
 
 def test_table_never_decides_a_count():
     texts = ["hello world, it's 2024", "zzz qqq hello"]
-    empty = (np.zeros(4, np.uint64), np.zeros(4, np.uint16))
+    empty = token_counts.Table({}, 4)
     assert token_counts.count_tokens(texts, empty, ENC, {}).tolist() == [len(ENC.encode_ordinary(t)) for t in texts]
+    full = token_counts.Table({p: len(ENC.encode_ordinary(p)) for p in ("hello", " world", ",", " it", "'s", " 202", " 2024")}, 16)
+    assert token_counts.count_tokens(texts, full, ENC, {}).tolist() == [len(ENC.encode_ordinary(t)) for t in texts]
+
+
+def test_pretokens_that_share_a_hash():
+    """Thue-Morse words and their complements collide for polynomials modulo 2^64."""
+    texts = []
+    for k in range(9, 13):
+        w = "a"
+        for _ in range(k):
+            w += w.translate(str.maketrans("ab", "ba"))
+        texts += [w, w.translate(str.maketrans("ab", "ba")), w + "ba", w.translate(str.maketrans("ab", "ba")) + "ba"]
+    cp, off = codepoints(texts)
+    assert len(set(token_counts.hash_ranges(cp, off[:-1], off[1:]).tolist())) < len(texts)
+    want = [ENC.encode_ordinary(t) for t in texts]
+    for batch in (texts, texts[::-1], [" ".join(texts)]):
+        want = [ENC.encode_ordinary(t) for t in batch]
+        assert [x.tolist() for x in bpe.Encoder(RANKS).encode(batch)] == want
+        assert token_counts.count_tokens(batch, token_counts.Table({}, 4), ENC, {}).tolist() == [len(x) for x in want]
+    one = bpe.Encoder(RANKS)
+    assert [one.encode([t])[0].tolist() for t in texts] == [ENC.encode_ordinary(t) for t in texts]
+    table = token_counts.Table({t: len(ENC.encode_ordinary(t)) for t in ("ab", " ab")}, 4)
+    assert table.look_up(np.array(table.keys[table.keys > 0][:1]), np.frombuffer("xy".encode("utf-32-le"), np.uint32), np.array([0]), np.array([2])).tolist() == [0]
