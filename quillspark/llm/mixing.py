@@ -34,12 +34,14 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import prepare, table
+from quillspark.llm.common import packed, prepare, table
 
 BLOCK = 32_768
 ALPHA = 0.85
 EPOCHS = 4
 CHUNK = 1024
+#: Sizes up to which the schedule is broadcast: a row for each source, and 8 bytes for each slot (16 MB).
+BROADCAST_SOURCES, BROADCAST_SLOTS = 100_000, 2_000_000
 MOST_SLOTS = 1 << 20  # of ORACLE
 
 
@@ -83,40 +85,43 @@ def schedule(shares: Mapping[str, int], blocks: Mapping[str, int] | None = None)
 
 
 def _blocks(docs: DataFrame, block: int, keep: list[str]) -> tuple[DataFrame, dict[str, int]]:
-    """The columns ``keep`` with source and block, and the number of blocks by source."""
-    src = docs.select(*(docs[c] for c in keep), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("__source"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("__order"), F.length(F.coalesce(F.col("text").cast("string"), F.lit(""))).cast("long").alias("__chars"), F.xxhash64("text").alias("__text")).withColumn("__bucket", F.substring("__order", 1, 3))
-    sums = src.groupBy("__source", "__bucket").agg(F.sum("__chars").alias("__sum"))
-    total = {r[0]: r[1] for r in sums.groupBy("__source").agg(F.sum("__sum")).collect()}  # a row for each source
+    """The columns ``keep`` as ``row``, with source and block, and the number of blocks by source."""
+    text = F.col("text").cast("string")
+    src = packed(docs, keep, id=F.col("doc_id").cast("long"), source=F.coalesce(F.col("source").cast("string"), F.lit("")), order=F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), chars=F.length(F.coalesce(text, F.lit(""))).cast("long"), hash=F.xxhash64(text)).withColumn("bucket", F.substring("order", 1, 3))
+    sums = src.groupBy("source", "bucket").agg(F.sum("chars").alias("sum"))
+    total = {r[0]: r[1] for r in sums.groupBy("source").agg(F.sum("sum")).collect()}  # a row for each source
     n = {s: max(1, -(-c // block)) for s, c in total.items()}
-    before = F.coalesce(F.sum("__sum").over(Window.partitionBy("__source").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    base = sums.select("__source", "__bucket", before.alias("__before"))
-    inner = Window.partitionBy("__source", "__bucket").orderBy("__order", "doc_id", "__text").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.col("__before") + F.coalesce(F.sum("__chars").over(inner), F.lit(0))
-    return src.join(base, ["__source", "__bucket"]).withColumn("__start", start).withColumn("__block", F.floor(F.col("__start") / block)), n
+    before = F.coalesce(F.sum("sum").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sums.select(F.col("source").alias("source_"), F.col("bucket").alias("bucket_"), before.alias("before"))
+    inner = Window.partitionBy("source", "bucket").orderBy("order", "id", "hash").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.col("before") + F.coalesce(F.sum("chars").over(inner), F.lit(0))
+    joined = src.join(base, (F.col("source") == F.col("source_")) & (F.col("bucket") == F.col("bucket_")))
+    return joined.withColumn("start", start).withColumn("block", F.floor(F.col("start") / block)), n
 
 
 def _slotted(docs: DataFrame, weights: Mapping[str, float] | None, block: int, keep: list[str]) -> tuple[DataFrame, int]:
-    """Rows of the mix with __slot and __epoch, and the number of slots."""
+    """Rows of the mix with slot and epoch, and the number of slots."""
     rows, n = _blocks(docs, block, keep)
     spark = docs.sparkSession
     at = schedule(shares_of(n, weights), n) if n else {}
     end = max((x[-1] for x in at.values()), default=-1) + 1
     # one row for each source, and one number for each slot in rows of CHUNK blocks
-    p = spark.createDataFrame([(s, n[s], len(at[s])) for s in sorted(n)], "__s string, __n long, __used long")
-    q = spark.createDataFrame([(s, k // CHUNK, at[s][k : k + CHUNK]) for s in sorted(n) for k in range(0, len(at[s]), CHUNK)], "__of string, __chunk long, __at array<long>")
-    rows = rows.join(F.broadcast(p), F.col("__source") == F.col("__s")).withColumn("__block", F.least("__block", F.col("__n") - 1))
-    rows = rows.withColumn("__epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__used") - 1 - F.col("__block")) / F.col("__n")))))
-    i = F.col("__block") + F.col("__epoch") * F.col("__n")
-    rows = rows.join(F.broadcast(q), (F.col("__source") == F.col("__of")) & (F.floor(i / CHUNK) == F.col("__chunk")))
-    slot = F.get("__at", F.pmod(i, F.lit(CHUNK)).cast("int"))
-    return rows.withColumn("__slot", slot), end
+    p = spark.createDataFrame([(s, n[s], len(at[s])) for s in sorted(n)], "s string, n long, used long")
+    q = spark.createDataFrame([(s, k // CHUNK, at[s][k : k + CHUNK]) for s in sorted(n) for k in range(0, len(at[s]), CHUNK)], "of string, chunk long, at array<long>")
+    few = len(n) <= BROADCAST_SOURCES
+    rows = rows.join(F.broadcast(p) if few else p, F.col("source") == F.col("s")).withColumn("block", F.least("block", F.col("n") - 1))
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("used") - 1 - F.col("block")) / F.col("n")))))
+    i = F.col("block") + F.col("epoch") * F.col("n")
+    rows = rows.join(F.broadcast(q) if few and end <= BROADCAST_SLOTS else q, (F.col("source") == F.col("of")) & (F.floor(i / CHUNK) == F.col("chunk")))
+    slot = F.get("at", F.pmod(i, F.lit(CHUNK)).cast("int"))
+    return rows.withColumn("slot", slot), end
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int = BLOCK) -> DataFrame:
     """(slot, source, block, epoch, doc_id, start): the schedule; ``start`` is the place in the source's order."""
     prepare(docs.sparkSession)
     rows, _ = _slotted(docs, weights, block, ["doc_id"])  # the texts needn't move for the schedule alone
-    return rows.select(F.col("__slot").cast("long").alias("slot"), F.col("__source").alias("source"), F.col("__block").cast("long").alias("block"), F.col("__epoch").cast("long").alias("epoch"), F.col("doc_id").cast("long").alias("doc_id"), F.col("__start").cast("long").alias("start"))
+    return rows.select(F.col("slot").cast("long").alias("slot"), "source", F.col("block").cast("long").alias("block"), F.col("epoch").cast("long").alias("epoch"), F.col("id").alias("doc_id"), F.col("start").cast("long").alias("start"))
 
 
 ORACLE = f"""
@@ -150,5 +155,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows, end = _slotted(docs, None, BLOCK, docs.columns)
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # whole slots in order: no sampling job, and partitions hold about as many blocks each
-    rows = rows.withColumn("__part", F.floor(F.col("__slot") * parts / max(end, 1)).cast("int"))
-    return rows.repartitionById(parts, F.col("__part")).sortWithinPartitions("__slot", "__start", "doc_id").select(*docs.columns)
+    rows = rows.withColumn("part", F.floor(F.col("slot") * parts / max(end, 1)).cast("int"))
+    return rows.repartitionById(parts, F.col("part")).sortWithinPartitions("slot", "start", "id").select("row.*")

@@ -73,3 +73,18 @@ def test_mix_holds_unrounded_weights(docs):
     for r in rows:  # block number and slot of every row
         j, w = r.block + r.epoch * n[r.source], Fraction(weights[r.source]) / total
         assert math.floor(j / w) <= r.slot < math.ceil((j + 1) / w)
+
+
+def test_one_block_of_the_targets_for_uneven_weights():
+    for weights, blocks in (({"a": 0.3337, "b": 0.6663}, {"a": 33_000, "b": 67_000}), ({"a": 1.0, "b": 3_000_000.0}, {"a": 1, "b": 100_000})):
+        under_one_block(mixing.schedule(mixing.shares_of(blocks, weights), blocks), weights)
+
+
+def test_ties_of_the_order(spark):
+    """Repeated rows and null ids share a place in the order: the text's hash decides, and each row is there once."""
+    rows = [(None, "x" * 40, "s"), (None, "y" * 40, "s"), (1, "z" * 40, "s"), (1, "z" * 40, "s"), (2, "w" * 40, "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    a = [tuple(r) for r in mixing.mix(df, block=16).collect() if r.epoch == 0]
+    b = [tuple(r) for r in mixing.mix(df.repartition(4), block=16).collect() if r.epoch == 0]
+    assert sorted(map(repr, a)) == sorted(map(repr, b))
+    assert len(a) == len(rows)

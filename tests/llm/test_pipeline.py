@@ -1,5 +1,6 @@
 import corpus_pipeline as p
 from quillspark.llm import bpe, langid, mixing, pii, simhash
+from quillspark.llm.common import written
 from quillspark.llm.pretokens import VOCABULARY, encoding, ranks_of
 
 
@@ -34,5 +35,18 @@ def test_odd_and_empty_tables(spark, odd, none, sf):
         now = docs
         for _, stage in p.STAGES:
             now = stage(spark, now, sf)
-        assert now.columns == ["doc_id", "ids", "n_tokens", "exact"]
+        assert now.columns == ["doc_id", "ids", "n_tokens", "exact", "place"]
         assert (now.count() > 0) == (docs is odd)
+
+
+def test_rows_keep_the_order_of_the_mix(spark, sf, docs):
+    """The whole run, from files to files: sorted by place, the tokens are the mix slot by slot."""
+    now = docs
+    for name, stage in p.STAGES[:3]:
+        now = written(stage(spark, now, sf), name)
+    mixed = mixing.mix(now).collect()
+    want = [r.doc_id for r in sorted(mixed, key=lambda r: (r.slot, r.start, r.doc_id))]
+    got = p.run(spark, sf).select("doc_id", "place").collect()
+    assert len({r.place for r in got}) == len(got)
+    assert [r.doc_id for r in sorted(got, key=lambda r: r.place)] == want
+    assert len(want) > len({*want}) > 100  # with documents of sources that started again
