@@ -8,7 +8,7 @@ the input matters.  A task writes one shard and starts a new file when the compr
 headers, content lengths, record ids and SHA-1 digests are made anew from the content.
 
 *Commit.*  Tasks write under names that hold their attempt, in ``_temporary``; the index rows of the attempt that
-Spark commits say which of these count.  Then the files are renamed (a repeated rename does nothing), the index is
+Spark commits say which of these count.  Then tasks rename the files (a repeated rename does nothing), the index is
 there as Parquet, and ``MANIFEST.json``, itself written under another name first, appears last: a folder
 without it isn't complete.  An executor that is lost leaves only temporary files, which the end removes.
 
@@ -37,9 +37,8 @@ from pyspark.sql import functions as F
 
 from quillspark.llm.common import prepare, shared_path, table
 
-SHARD_BYTES = 1 << 30
-#: Small tables still give several tasks something to do: shards of SMALL bytes, up to 64 of them.
-SMALL = 8 << 20
+#: Content of a shard (one task writes it), and compressed bytes at which it starts another file.
+SHARD_BYTES = 128 << 20
 FILE_BYTES = 256 << 20
 DATE = "2024-01-01T00:00:00Z"
 INDEX = "page_id long, url string, file string, offset long, length long, payload_digest string, record_id string"
@@ -76,9 +75,9 @@ def record(page_id: int | None, url: str, html: bytes, copy: int) -> tuple[bytes
     return _member(headers, block), payload, rid
 
 
-def splitters(keyed: DataFrame, shard_bytes: int, small: int) -> list[bytes]:
+def splitters(keyed: DataFrame, shard_bytes: int) -> list[bytes]:
     n, total = keyed.agg(F.count("*"), F.coalesce(F.sum(F.length("html")), F.lit(0))).first()
-    shards = max(1, -(-total // shard_bytes), min(64, -(-total // small)))
+    shards = max(1, -(-total // shard_bytes))
     if shards == 1:
         return []
     grid = max(1, n // (200 * shards))  # about 200 keys for each shard come to the driver
@@ -86,7 +85,7 @@ def splitters(keyed: DataFrame, shard_bytes: int, small: int) -> list[bytes]:
     return sorted({keys[len(keys) * k // shards] for k in range(1, shards)}) if keys else []
 
 
-def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, small: int = SMALL) -> DataFrame:
+def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Write ``pages`` below ``path`` (new or empty) and return the index: a row for each record."""
     spark = prepare(pages.sparkSession)
     filesystem, root = _open(path)
@@ -95,7 +94,7 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, file_byte
     page_id = F.col("page_id").cast("long")
     at = F.when(page_id.isNull(), F.lit("")).otherwise(F.lpad(F.hex(page_id), 16, "0"))
     src = pages.select(page_id.alias("page_id"), url.alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"), F.concat(F.encode(url, "utf-8"), F.unhex(F.lit("00")), F.encode(at, "utf-8")).alias("key"))
-    cut = splitters(src, shard_bytes, small)
+    cut = splitters(src, shard_bytes)
     shared = spark.sparkContext.broadcast(cut)
 
     @F.pandas_udf("int")
@@ -151,22 +150,34 @@ def write(pages: DataFrame, path: str, shard_bytes: int = SHARD_BYTES, file_byte
     rows = sharded.repartitionById(len(cut) + 1, F.col("shard")).sortWithinPartitions("key", F.sha1("html")).select("page_id", "url", "html", "shard")
     rows.mapInArrow(run, INDEX + ", temp string, sha256 string, records long").write.parquet(f"{path}/index")
     everything = spark.read.schema(INDEX + ", temp string, sha256 string, records long").parquet(f"{path}/index")
-    files = [r.asDict() for r in everything.where("temp is not null").select("file", "temp", "sha256", "records", F.col("offset").alias("bytes")).orderBy("file").collect()]
-    commit(path, files)
+    commit(path, everything.where("temp is not null").select("file", "temp", "sha256", "records", F.col("offset").alias("bytes")))
     return everything.where("temp is null").select(*[c.split()[0] for c in INDEX.split(", ")])
 
 
 _NAMES = [*[c.split()[0] for c in INDEX.split(", ")], "temp", "sha256", "records"]
 
 
-def commit(path: str, files: list[dict]) -> None:
+def commit(path: str, files: DataFrame) -> None:
     """Rename what was written, then let the manifest appear.  Running it again does nothing more."""
+
+    def rename(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filesystem, root = _open(path)
+        for batch in batches:
+            for name, temp in zip(batch.column("file").to_pylist(), batch.column("temp").to_pylist(), strict=True):
+                if filesystem.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+                    try:
+                        filesystem.move(f"{root}/{temp}", f"{root}/{name}")
+                    except OSError:  # another attempt of this task was faster
+                        if filesystem.get_file_info(f"{root}/{name}").type == fs.FileType.NotFound:
+                            raise
+            yield batch
+
+    columns = "file string, temp string, sha256 string, records long, bytes long"
+    done = files.repartition("file").mapInArrow(rename, columns)
+    # one line for each file: about as many as there are shards
+    listed = [{"file": r.file, "bytes": r.bytes, "records": r.records, "sha256": r.sha256} for r in done.drop("temp").orderBy("file").collect()]
     filesystem, root = _open(path)
-    have = {f.path: f.type for f in filesystem.get_file_info([f"{root}/{x['file']}" for x in files])} if files else {}
-    for x in files:
-        if have[f"{root}/{x['file']}"] == fs.FileType.NotFound:
-            filesystem.move(f"{root}/{x['temp']}", f"{root}/{x['file']}")
-    body = json.dumps({"date": DATE, "files": [{k: x[k] for k in ("file", "bytes", "records", "sha256")} for x in files]}, indent=1)
+    body = json.dumps({"date": DATE, "files": listed}, indent=1)
     with filesystem.open_output_stream(f"{root}/_temporary-manifest") as f:
         f.write(body.encode())
     filesystem.move(f"{root}/_temporary-manifest", f"{root}/MANIFEST.json")
