@@ -9,7 +9,8 @@ over blocks of ``BLOCK`` words at once: the product of a block's transfer matric
 block to block, so that a text of any length takes ``BLOCK`` vectorised steps and one step for each block.
 
 The model is fitted on the driver by AdaGrad, on code-switched chains made of words of labelled documents:
-at most ``TRAIN`` rows for each language (a bounded sample of labelled rows; everything else covers all rows).
+at most ``TRAIN`` rows for each language, those whose ids hash lowest (a bounded sample of labelled rows; everything
+else covers all rows).
 
 A document's language has the largest sum of marginals; ``confidence`` is its share.  A document is rejected
 if it has no word with a letter, or if that share is under ``LEAST_SHARE``.
@@ -22,11 +23,12 @@ training) ``lang`` are read; other columns may have any name.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm.common import Texts, mix, prepare, steps, table
@@ -36,7 +38,6 @@ BLOCK = 32
 LEXICON = 3
 BUCKETS = 1 << 16
 LEAST_SHARE = 0.5
-_worker: dict = {}
 
 
 # ---------------------------------------------------------------- features
@@ -242,14 +243,21 @@ def train(rows: list[tuple[str, str]], seed: int = 7, chains: int = 4000, length
 
 
 def sample(docs: DataFrame, most: int = TRAIN) -> list[tuple[str, str]]:
-    """At most ``most`` labelled rows for each language."""
+    """At most ``most`` labelled rows for each language: those whose ids hash lowest, whatever the partitioning.
+
+    Two passes: the hashes that count are found without the texts, then the texts of these rows are read.
+    """
     if "lang" not in docs.columns:
         return []
-    src = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("text is not null and lang is not null and lang <> ''")
-    found: list[tuple[str, str]] = []
-    for r in src.select("lang").distinct().orderBy("lang").collect():
-        found += [(x.text, x.lang) for x in src.where(F.col("lang") == r.lang).limit(most).collect()]
-    return found
+    lang = F.col("lang").cast("string")
+    src = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), lang.alias("lang"), F.col("text").cast("string").alias("text")).where("text is not null and lang is not null and lang <> ''")
+    place = lambda *by: F.row_number().over(Window.partitionBy("lang").orderBy(*by))  # noqa: E731 - limited in each group before the shuffle
+    top = src.select("h", "lang").withColumn("n", place("h")).where(F.col("n") <= most).groupBy("lang").agg(F.max("h").alias("last")).collect()
+    if not top:
+        return []
+    wanted = functools.reduce(lambda a, b: a | b, ((F.col("lang") == r.lang) & (F.col("h") <= r["last"]) for r in top))
+    rows = src.where(wanted).withColumn("n", place("h", "text")).where(F.col("n") <= most).orderBy("lang", "n").collect()
+    return [(r.text, r.lang) for r in rows]
 
 
 # ---------------------------------------------------------------- operators

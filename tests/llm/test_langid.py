@@ -52,3 +52,15 @@ def test_odd_rows(spark, odd, none):
     assert langid.languages(none).count() == langid.stage(spark, none, "").count() == 0
     unlabelled = langid.languages(odd.drop("lang")).collect()
     assert all(r.lang is None and r.kept for r in unlabelled)
+
+
+def test_the_sample_doesnt_depend_on_partitioning(docs):
+    assert langid.sample(docs.repartition(5), 7) == langid.sample(docs.coalesce(1), 7)
+    assert len(langid.sample(docs, 7)) == 7 * docs.where("lang <> ''").select("lang").distinct().count()
+
+
+def test_ties_go_to_the_first_language(spark):
+    model = langid.train([("aaa bbb ccc", "x"), ("aaa bbb ccc", "y")], chains=20)
+    model.weights[:] = 0
+    model.trans[:] = 0
+    assert langid.judge(pa.array(["aaa zzz"]), model, 0.5)[0].to_pylist() == ["x"]
