@@ -1,20 +1,26 @@
 """MPEG audio in a binary column: frames, tags, variable-bitrate tables, checksums, durations and seek offsets.
 
-*Frames.*  A header counts once it is locked: the first one, and each one after lost synchronisation, needs a
-second header of the same version, layer and sampling rate exactly where its frame ends (or the end of the
-audio there); a frame that follows on the previous one needs only its own header, of that same kind.  Bytes
-between are junk, and every search that ends in a frame after the first counts as one resynchronisation.  A
-last frame that is cut off isn't a frame; its bytes are ``truncated``.  Free-format and reserved headers aren't
-frames.
+*Frames.*  A header counts once it is locked.  The first lock, and one of another format after lost synchronisation
+(joined files), need two more headers exactly where frames end, the next one of the same version, layer and sampling
+rate; a lock of the format so far needs that one alone.  The end of the audio counts as such a header.  A frame that follows on the
+previous one needs only its own header, of that same format.  Bytes between are junk, and every search that ends in
+a frame after the first counts as one resynchronisation.  A last frame that is cut off isn't a frame; its bytes are
+``truncated``.  Free-format and reserved headers aren't frames.  Version, layer, rate and channels are those of the first
+frame; ``n_formats`` counts the formats.
 
 *Tags.*  ID3v2 (2.2 to 2.4, title and artist, with padding and footer) before the audio, repeated if so; ID3v1 and APEv2
-after it.  *Tables.*  Xing/Info (frames, bytes, the LAME delay and padding) or VBRI in the first frame; that
-frame has no audio and isn't counted.  *Checksums.*  CRC-16 over the two last header bytes and the protected bits: of
-Layer III its side information, of Layer I its bit allocation, of Layer II its bit allocation and scale factor
-selection, whose length follows from the allocation tables; one that runs out of its frame is bad.  *Durations* are exact: samples, less delay and padding, with the sampling rate.
+after it.  *Tables.*  Xing/Info (frames, bytes, the 100 seek points, quality, and the delay and padding that encoders
+write in the LAME manner) or VBRI (bytes, frames, quality and its seek entries) in the first frame; that frame has
+no audio and isn't counted.  ``table_seek`` has the seek points as bytes from the table's frame on; ``table_ok`` says that
+frames and bytes, where given, are those of the audio (with the table's frame or without) and that the points rise.
+VBRI's delay has no settled unit and is left out.  *Checksums.*  CRC-16 over the two last header bytes and the protected
+bits: of Layer III its side information, of Layer I its bit allocation, of Layer II its bit allocation and scale
+factor selection, whose length follows from the allocation tables; one that runs out of its frame is bad.
+*Durations* are exact: the samples of each frame with its own sampling rate, less delay and padding, rounded down once.
 
 Cases: a null value gives nulls, an empty one (or one without frames) zero frames, a null rate and no offsets.
-Repeated rows each give a row.  Other columns may have any name.  Values of any length are parsed whole.
+Repeated rows each give a row.  An empty table gives no rows.  Other columns may have any name.  Values of any
+length are parsed whole.  Nothing can tie.
 
 No table here has audio, so ``synthetic_media`` makes a stream of frames from each document (the text is the
 payload), with every feature above and with damage, and the query parses these for the whole table.
@@ -22,7 +28,10 @@ payload), with every feature above and with damage, and the query parses these f
 
 from __future__ import annotations
 
+import itertools
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +51,7 @@ _KBPS = {
 }
 SCHEMA = (
     "version string, layer int, sample_rate int, channels int, n_frames long, n_samples long, duration_us long, bitrate_mode string, table_kind string, "
-    "table_frames long, table_ok boolean, crc_good long, crc_bad long, crc_unverified long, resyncs long, junk long, truncated long, title string, artist string, seek array<long>"
+    "table_frames long, table_bytes long, table_quality int, table_seek array<long>, table_ok boolean, n_formats int, crc_good long, crc_bad long, crc_unverified long, resyncs long, junk long, truncated long, title string, artist string, seek array<long>"
 )
 
 
@@ -171,6 +180,48 @@ def id3v2(data: bytes, at: int) -> tuple[int, dict[str, str]]:
     return end, found
 
 
+def _confirmed(data: bytes, p: int, end: int, kind: int, more: int) -> bool:
+    """Whether ``more`` headers follow on each other after the one at p, or the end does: the next one of its kind,
+    the others of any."""
+    for k in range(more):
+        p += _HEAD[data[p + 1] << 8 | data[p + 2]][0]
+        if p > end:
+            return False
+        if p + 4 > end:
+            return True
+        now = _KIND[data[p + 1] << 8 | data[p + 2]]
+        if data[p] != 0xFF or not now or k == 0 and now != kind:
+            return False
+    return True
+
+
+def vbr_table(data: bytes, first: int) -> tuple[dict | None, int]:
+    """The variable-bitrate table in the frame at ``first``, and the samples of delay and padding."""
+    length, _, _, layer, gen = _HEAD[data[first + 1] << 8 | data[first + 2]]
+    end = first + length
+    number = lambda at, n: int.from_bytes(data[at : at + n], "big")
+    found: dict = {"kind": None, "frames": None, "bytes": None, "quality": None, "seek": None}
+    x = first + 4 + _side(gen, data[first + 3] >> 6 == 3)
+    if layer == 3 and data[x : x + 4] in (b"Xing", b"Info") and x + 8 <= end:
+        found["kind"], flags, y = data[x : x + 4].decode(), number(x + 4, 4), x + 8
+        for bit, name, size in ((1, "frames", 4), (2, "bytes", 4), (4, "seek", 100), (8, "quality", 4)):
+            if flags & bit and y + size <= end:
+                found[name] = list(data[y : y + 100]) if name == "seek" else number(y, size)
+                y += size
+        if found["seek"]:
+            found["seek"] = [k * found["bytes"] // 256 for k in found["seek"]] if found["bytes"] else None
+        v = number(y + 21, 3) if data[y : y + 4] in (b"LAME", b"Lavf", b"Lavc", b"L3.9") and y + 24 <= end else 0
+        return found, (v >> 12) + (v & 0xFFF)
+    x = first + 36
+    if layer == 3 and data[x : x + 4] == b"VBRI" and x + 26 <= end:
+        n, scale, size = number(x + 18, 2), number(x + 20, 2), number(x + 22, 2)
+        found |= {"kind": "VBRI", "quality": number(x + 8, 2), "bytes": number(x + 10, 4), "frames": number(x + 14, 4)}
+        if n and 1 <= size <= 4 and x + 26 + n * size <= end:
+            found["seek"] = [scale * k for k in itertools.accumulate(number(x + 26 + size * i, size) for i in range(n))]
+        return found, 0
+    return None, 0
+
+
 def parse(data: bytes) -> tuple:
     """One value, in the order of SCHEMA."""
     start, tags = 0, {}
@@ -193,6 +244,7 @@ def parse(data: bytes) -> tuple:
             end -= size
     seek: list[int] = []
     bits: set[int] = set()
+    kinds: set[int] = set()
     at, kind, resyncs, junk, cut, locked = start, 0, 0, 0, 0, False
     while at + 4 <= end:
         if locked:
@@ -208,51 +260,38 @@ def parse(data: bytes) -> tuple:
                 at += n
                 continue
             locked = False
-        # search: two headers of one kind, or a frame up to the end
         p = data.find(b"\xff", at, end - 3)
         while p >= 0:
-            x = data[p + 1] << 8 | data[p + 2]
-            h = _HEAD[x]
-            if h is not None and (not kind or _KIND[x] == kind):
-                q = p + h[0]
-                if q == end or (q + 4 <= end and data[q] == 0xFF and _KIND[data[q + 1] << 8 | data[q + 2]] == _KIND[x]):
-                    break
+            k = _KIND[data[p + 1] << 8 | data[p + 2]]
+            if k and _confirmed(data, p, end, k, 1 if k == kind else 2):
+                break
             p = data.find(b"\xff", p + 1, end - 3)
         if p < 0:
             break
         junk += p - at
         resyncs += bool(seek)
-        kind, at, locked = _KIND[data[p + 1] << 8 | data[p + 2]], p, True
+        kind, at, locked = k, p, True
+        kinds.add(k)
     if at < end:
         junk += end - at
     title, artist = tags.get("title"), tags.get("artist")
     if not seek:
-        return (None, None, None, None, 0, 0, 0, None, None, None, None, 0, 0, 0, resyncs, junk, cut, title, artist, [])
+        return (None, None, None, None, 0, 0, 0, None, None, None, None, None, None, None, 0, 0, 0, 0, resyncs, junk, cut, title, artist, [])
     first = seek[0]
-    _, samples, hz, layer, gen = _HEAD[data[first + 1] << 8 | data[first + 2]]
-    mono = data[first + 3] >> 6 == 3
-    table, table_frames, skip = None, None, 0
-    x = first + 4 + _side(gen, mono)
-    if layer == 3 and data[x : x + 4] in (b"Xing", b"Info"):
-        table = data[x : x + 4].decode()
-        flags = int.from_bytes(data[x + 4 : x + 8], "big")
-        y = x + 8
-        if flags & 1:
-            table_frames = int.from_bytes(data[y : y + 4], "big")
-            y += 4
-        y += (4 if flags & 2 else 0) + (100 if flags & 4 else 0) + (4 if flags & 8 else 0)
-        if data[y : y + 4] == b"LAME":
-            v = int.from_bytes(data[y + 21 : y + 24], "big")
-            skip = (v >> 12) + (v & 0xFFF)
-    elif layer == 3 and data[first + 36 : first + 40] == b"VBRI":
-        table = "VBRI"
-        table_frames = int.from_bytes(data[first + 50 : first + 54], "big")
+    _, _, hz, layer, _ = _HEAD[data[first + 1] << 8 | data[first + 2]]
+    table, skip = vbr_table(data, first)
     audio = seek[1:] if table else seek
+    if table:
+        whole = sum(_HEAD[data[p + 1] << 8 | data[p + 2]][0] for p in seek)
+        own = _HEAD[data[first + 1] << 8 | data[first + 2]][0]
+        points = table["seek"] or []
+        table["ok"] = table["frames"] in (None, len(audio), len(seek)) and table["bytes"] in (None, whole, whole - own) and points == sorted(points)
     good = bad = unknown = 0  # there is a rule for every layer
     by: dict[int, list[int]] = {}
     for p in audio:
         if not data[p + 1] & 1:
-            by.setdefault(_protected(data, p, layer, gen), []).append(p)
+            h = _HEAD[data[p + 1] << 8 | data[p + 2]]
+            by.setdefault(_protected(data, p, h[3], h[4]), []).append(p)
     raw = np.frombuffer(data, np.uint8)
     for n, places in by.items():
         size = 6 + -(-n // 8)
@@ -264,13 +303,19 @@ def parse(data: bytes) -> tuple:
         want = raw[p + 4].astype(np.uint16) << np.uint16(8) | raw[p + 5]
         ok = int((crc16(raw[p[:, None] + cols[None, :]], 16 + n) == want).sum())
         good, bad = good + ok, bad + len(p) - ok
-    total = max(0, len(audio) * samples - skip)
-    mode = "VBR" if table in ("Xing", "VBRI") or len(bits) > 1 else "CBR"
+    by_rate: dict[int, int] = {}
+    for p in audio:
+        h = _HEAD[data[p + 1] << 8 | data[p + 2]]
+        by_rate[h[2]] = by_rate.get(h[2], 0) + h[1]
+    by_rate[hz] = max(0, by_rate.get(hz, 0) - skip)
+    duration = math.floor(sum(Fraction(n * 1_000_000, r) for r, n in by_rate.items()))
+    mode = "VBR" if table and table["kind"] in ("Xing", "VBRI") or len(bits) > 1 else "CBR"
     version = {3: "1", 2: "2", 0: "2.5"}[data[first + 1] >> 3 & 3]
-    return (version, layer, hz, 1 if mono else 2, len(audio), total, total * 1_000_000 // hz, mode, table, table_frames, None if table_frames is None else table_frames == len(audio), good, bad, unknown, resyncs, junk, cut, title, artist, audio)
+    t = [table[k] for k in ("kind", "frames", "bytes", "quality", "seek", "ok")] if table else [None] * 6
+    return (version, layer, hz, 1 if data[first + 3] >> 6 == 3 else 2, len(audio), sum(by_rate.values()), duration, mode, *t, len(kinds), good, bad, unknown, resyncs, junk, cut, title, artist, audio)
 
 
-_ARROW = pa.schema([("version", pa.string()), ("layer", pa.int32()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("n_frames", pa.int64()), ("n_samples", pa.int64()), ("duration_us", pa.int64()), ("bitrate_mode", pa.string()), ("table_kind", pa.string()), ("table_frames", pa.int64()), ("table_ok", pa.bool_()), ("crc_good", pa.int64()), ("crc_bad", pa.int64()), ("crc_unverified", pa.int64()), ("resyncs", pa.int64()), ("junk", pa.int64()), ("truncated", pa.int64()), ("title", pa.string()), ("artist", pa.string()), ("seek", pa.list_(pa.int64()))])
+_ARROW = pa.schema([("version", pa.string()), ("layer", pa.int32()), ("sample_rate", pa.int32()), ("channels", pa.int32()), ("n_frames", pa.int64()), ("n_samples", pa.int64()), ("duration_us", pa.int64()), ("bitrate_mode", pa.string()), ("table_kind", pa.string()), ("table_frames", pa.int64()), ("table_bytes", pa.int64()), ("table_quality", pa.int32()), ("table_seek", pa.list_(pa.int64())), ("table_ok", pa.bool_()), ("n_formats", pa.int32()), ("crc_good", pa.int64()), ("crc_bad", pa.int64()), ("crc_unverified", pa.int64()), ("resyncs", pa.int64()), ("junk", pa.int64()), ("truncated", pa.int64()), ("title", pa.string()), ("artist", pa.string()), ("seek", pa.list_(pa.int64()))])
 
 
 def audio_columns(media: DataFrame, key: str = "doc_id", column: str = "audio") -> DataFrame:
@@ -279,12 +324,12 @@ def audio_columns(media: DataFrame, key: str = "doc_id", column: str = "audio")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for b in steps(batch, "__audio"):
-                rows = [(None,) * len(_ARROW) if v is None else parse(v) for v in b.column("__audio").to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column("__key"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True))], ["__key", *_ARROW.names])
+            for b in steps(batch, "audio"):
+                rows = [(None,) * len(_ARROW) if v is None else parse(v) for v in b.column("audio").to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column("key"), *(pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True))], ["key", *_ARROW.names])
 
-    src = media.select(F.col(key).cast("long").alias("__key"), F.col(column).cast("binary").alias("__audio"))
-    return src.mapInArrow(run, "__key long, " + SCHEMA).withColumnRenamed("__key", key)
+    src = media.select(F.col(key).cast("long").alias("key"), F.col(column).cast("binary").alias("audio"))
+    return src.mapInArrow(run, "key long, " + SCHEMA).withColumnRenamed("key", key)
 
 
 # ---------------------------------------------------------------- synthetic media
@@ -326,22 +371,31 @@ def synthesize(doc_id: int, source: str, text: bytes) -> tuple[bytes, dict]:
         frames.append(frame(version, layer, rate, bit, bool(mono), bool(crc), piece, damage=k % 11 == 5))
         k += 1
     count, delay = len(frames), 0
-    table = None
+    table, wants = None, {"table_bytes": None, "table_quality": None, "table_seek": None, "table_ok": None}
     head = b""
     if layer == 3 and vbr:
         if kind < 2:
             table, delay = "Xing", 576 + 1000
-            body = b"\0" * _side(gen, bool(mono)) + b"Xing" + (3).to_bytes(4, "big") + count.to_bytes(4, "big") + sum(map(len, frames)).to_bytes(4, "big") + b"LAME3.100" + b"\0" * 12 + (576 << 12 | 1000).to_bytes(3, "big")
+            whole = sum(map(len, frames))
+            points = [256 * k // 100 for k in range(100)]
+            body = b"\0" * _side(gen, bool(mono)) + b"Xing" + (15).to_bytes(4, "big") + count.to_bytes(4, "big") + whole.to_bytes(4, "big") + bytes(points) + (60 + kind).to_bytes(4, "big") + (b"LAME3.100", b"Lavc60.31")[kind] + b"\0" * 12 + (576 << 12 | 1000).to_bytes(3, "big")
+            wants = {"table_bytes": whole, "table_quality": 60 + kind, "table_seek": [x * whole // 256 for x in points], "table_ok": True}
         else:
             table = "VBRI"
-            body = b"\0" * 32 + b"VBRI" + b"\0\1\0\0\0\0" + sum(map(len, frames)).to_bytes(4, "big") + count.to_bytes(4, "big")
+            each = [sum(map(len, frames[i * count // 8 : (i + 1) * count // 8])) for i in range(8)]
+            scale = 1 + max(each) // 65536
+            body = b"\0" * 32 + b"VBRI" + b"\0\1\0\0" + (75).to_bytes(2, "big") + sum(each).to_bytes(4, "big") + count.to_bytes(4, "big") + b"\0\x08" + scale.to_bytes(2, "big") + b"\0\2" + max(1, count // 8).to_bytes(2, "big") + b"".join((x // scale).to_bytes(2, "big") for x in each)
+            wants = {"table_bytes": sum(each), "table_quality": 75, "table_seek": [scale * x for x in itertools.accumulate(y // scale for y in each)], "table_ok": True}
         head = frame(version, layer, rate, 12, bool(mono), False, body)
     junk = b""
     middle = len(frames) // 2
     if pick(4, 29) == 0 and count >= 6:
         junk = b"\xff\xff\x00junk between frames\xff\xe0"
-    lead = b"\0\0lead" if pick(5, 31) == 0 else b""
-    tail = frames[-1][: len(frames[-1]) // 2] if pick(4, 37) == 0 else b""
+    lead = (b"\0\0lead", b"\xff\xfa\x90\x04".ljust(417, b"\0") + b"\xff\xfa\x90\x04false lock", b"", b"", b"")[pick(5, 31)]
+    # another file joined on, with another rate
+    other = (rate + 1) % 3
+    joined = [frame(version, layer, other, 9, bool(mono), False, b"joined")] * 4 if not table and pick(5, 47) == 0 else []
+    tail = (joined or frames)[-1][: len((joined or frames)[-1]) // 2] if pick(4, 37) == 0 else b""
     name = f"{source or ''}-{doc_id}"
     tag = b""
     if pick(3, 41):
@@ -356,10 +410,15 @@ def synthesize(doc_id: int, source: str, text: bytes) -> tuple[bytes, dict]:
         p += len(junk) if i == middle else 0
         offsets.append(p)
         p += len(f)
-    data = b"".join([tag, lead, head, *frames[:middle], junk, *frames[middle:], tail, last])
+    for f in joined:
+        offsets.append(p)
+        p += len(f)
+    data = b"".join([tag, lead, head, *frames[:middle], junk, *frames[middle:], *joined, tail, last])
+    other_hz = _RATES[version][other]
+    samples = max(0, count * spf - delay)
     bad = sum(k % 11 == 5 for k in range(count)) if crc else 0
-    want = {"n_frames": count, "n_samples": max(0, count * spf - delay), "sample_rate": hz, "layer": layer, "channels": 1 if mono else 2, "table_kind": table, "crc_bad": bad, "crc_good": count - bad if crc else 0, "crc_unverified": 0, "resyncs": int(bool(junk)), "junk": len(junk) + len(lead), "truncated": len(tail), "seek": offsets}
-    return data, want
+    want = {"n_frames": count + len(joined), "n_samples": samples + len(joined) * spf, "duration_us": math.floor(Fraction(samples * 1_000_000, hz) + Fraction(len(joined) * spf * 1_000_000, other_hz)), "n_formats": 1 + bool(joined), "sample_rate": hz, "layer": layer, "channels": 1 if mono else 2, "table_kind": table, "crc_bad": bad, "crc_good": count - bad if crc else 0, "crc_unverified": 0, "resyncs": int(bool(junk)) + bool(joined), "junk": len(junk) + len(lead), "truncated": len(tail), "seek": offsets}
+    return data, want | wants
 
 
 def synthetic_media(docs: DataFrame) -> DataFrame:
