@@ -13,9 +13,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
 from enum import Enum
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,14 +54,22 @@ class Index:
     lengths: DataFrame
     deletes: DataFrame | None = None
     spec: IndexSpec | None = None
+    #: Written with a stored index; counted otherwise.
+    terms_table: DataFrame | None = None
+    stats_table: DataFrame | None = None
 
-    # -------------------------------------------------------------- statistics
+    # ---- statistics
     def dictionary(self) -> DataFrame:
         """(field, term, df, ttf)."""
+        if self.terms_table is not None:
+            return self.terms_table.select("field", "term", "df", "ttf")
         return self.postings.groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf"))
 
     def field_stats(self) -> DataFrame:
         """(field, total_len, doc_count, avg_len)."""
+        return self.stats_table if self.stats_table is not None else self.measured_fields()
+
+    def measured_fields(self) -> DataFrame:
         return self.lengths.where("len > 0").groupBy("field").agg(F.sum("len").alias("total_len"), F.count("*").alias("doc_count"), F.avg("len").alias("avg_len"))
 
     def stats(self) -> DataFrame:
@@ -71,10 +78,16 @@ class Index:
         return self.docs.agg(F.count("*").alias("max_doc")).crossJoin(dead).select((F.col("max_doc") - F.col("num_deleted")).alias("num_docs"), "max_doc", "num_deleted")
 
     def field_names(self) -> DataFrame:
-        return self.postings.select("field").distinct()
+        return self.dictionary().select("field").distinct()
 
     def terms(self, name: str) -> DataFrame:
-        return self.postings.where(F.col("field") == name).select("term").distinct()
+        return self.dictionary().where(F.col("field") == name).select("term")
+
+    def only(self, fields: list[str]) -> Index:
+        """The index of some of its fields; everything about the others is left unread."""
+        some = F.col("field").isin(fields)
+        pick = lambda t: None if t is None else t.where(some)
+        return replace(self, postings=pick(self.postings), lengths=pick(self.lengths), terms_table=pick(self.terms_table), stats_table=pick(self.stats_table))
 
     def doc_frequency(self, name: str, term: str) -> DataFrame:
         return self.posting_list(name, term).agg(F.count("*").alias("df"))
@@ -86,12 +99,12 @@ class Index:
         return self.docs.where(F.col("doc_id") == doc_id)
 
     def is_deleted(self, doc_id: int) -> bool:
-        return self.deletes is not None and bool(self.deletes.where(F.col("doc_id") == doc_id).take(1))
+        return self.deletes is not None and not self.deletes.where(F.col("doc_id") == doc_id).isEmpty()
 
     def live(self, df: DataFrame) -> DataFrame:
         return df if self.deletes is None else df.join(self.deletes, "doc_id", "left_anti")
 
-    # -------------------------------------------------------------- changes
+    # ---- changes
     def delete_by_term(self, name: str, term: str) -> Index:
         """Soft-delete the documents with the verbatim index term."""
         return self._deleting(self.posting_list(name, term).select("doc_id"))
@@ -111,36 +124,43 @@ class Index:
     def add(self, rows: DataFrame) -> Index:
         """Append documents; an id that exists already makes a second document only if ids differ, as nothing is replaced."""
         more = build_index(rows, self.spec)
-        return replace(self, docs=self.docs.unionByName(more.docs, allowMissingColumns=True), postings=self.postings.unionByName(more.postings), lengths=self.lengths.unionByName(more.lengths))
+        return replace(self, docs=self.docs.unionByName(more.docs, allowMissingColumns=True), postings=self.postings.unionByName(more.postings), lengths=self.lengths.unionByName(more.lengths), terms_table=None, stats_table=None)
 
 
-def numbered(df: DataFrame, order: list[str | Column]) -> DataFrame:
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """Dense ids from 0 in the given order, without one task that sorts everything.
 
-    Rows are sorted by range, and a partition's ids start behind the counts of those before it.
+    Rows are sorted by range; a partition's ids start behind the counts of those before it, which are one number for each.
     """
-    at = df.sparkSession
-    ranged = df.orderBy(*order)
-    numbered_rdd = ranged.rdd.zipWithIndex().map(lambda p: (*p[0], p[1]))
-    return at.createDataFrame(numbered_rdd, T.StructType([*df.schema.fields, T.StructField("doc_id", T.LongType())]))
+    ranged = df.repartitionByRange(*order).withColumn("part_", F.spark_partition_id())
+    w = Window.partitionBy("part_").orderBy(*order)
+    placed = ranged.withColumn("place_", F.row_number().over(w))
+    sizes = placed.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    base = sizes.select("part_", before.alias("base_"))
+    return placed.join(F.broadcast(base), "part_").withColumn("doc_id", F.col("base_") + F.col("place_") - 1).drop("part_", "place_", "base_")
 
 
-def build_index(df: DataFrame, spec: IndexSpec) -> Index:
-    """Index rows with a ``doc_id``.  A column of arrays is a field with several values."""
-    indexed = [n for n, t in spec.fields.items() if t is not FieldType.STORED]
+def analyzed(df: DataFrame, spec: IndexSpec) -> DataFrame:
+    """(doc_id, field, found, len) of rows with a ``doc_id``.  A column of arrays is a field with several values."""
     entries = []
-    for name in indexed:
+    for name in (n for n, t in spec.fields.items() if t is not FieldType.STORED):
         c = F.col(name)
         many = isinstance(df.schema[name].dataType, T.ArrayType)
         found = field_terms(c.cast("array<string>"), spec.analyzer_of(name)) if many else single_terms(c.cast("string"), spec.analyzer_of(name))
         entries.append(F.struct(F.lit(name).alias("field"), found.alias("found")))
     per_field = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.explode(F.array(*entries)).alias("e")).select("doc_id", "e.field", "e.found")
-    per_field = per_field.withColumn("len", F.size("found"))
-    # partial aggregation happens where the document is, so postings are shuffled, not tokens
-    postings = per_field.select("field", "doc_id", "len", F.explode("found").alias("x")).groupBy("field", F.col("x.term").alias("term"), "doc_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("x.pos")).alias("positions"), F.first("len").alias("len"))
-    stored = df if not spec.boosts else df.withColumn("boosts", F.create_map(*[F.lit(x) for kv in spec.boosts.items() for x in kv]))
-    return Index(stored, postings, per_field.select("doc_id", "field", "len"), None, spec)
+    return per_field.withColumn("len", F.size("found"))
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+def postings_of(rows: DataFrame) -> DataFrame:
+    """Postings of analyzed rows; partial aggregation happens where the document is, so postings are shuffled, not tokens."""
+    each = rows.select("field", "doc_id", "len", F.explode("found").alias("x"))
+    return each.groupBy("field", F.col("x.term").alias("term"), "doc_id").agg(F.count("*").cast("int").alias("tf"), F.array_sort(F.collect_list("x.pos")).alias("positions"), F.first("len").alias("len"))
+
+
+def build_index(df: DataFrame, spec: IndexSpec) -> Index:
+    """Index rows with a ``doc_id``, without writing anything."""
+    rows = analyzed(df, spec)
+    stored = df if not spec.boosts else df.withColumn("boosts", F.create_map(*[F.lit(x) for kv in spec.boosts.items() for x in kv]))
+    return Index(stored, postings_of(rows), rows.select("doc_id", "field", "len"), None, spec)

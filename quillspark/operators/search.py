@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.similarity import BM25, Similarity
 from quillspark.operators.index import Index
-from quillspark.plans.compiler import compile_query, scored_postings
+from quillspark.plans.compiler import compile_query, term_weights
 from quillspark.plans.parser import QueryParser
 from quillspark.plans.query import MatchAllQuery, Query
 
@@ -41,21 +41,47 @@ class Searcher:
         first = [F.element_at(F.col(c), 1).alias(c) if self.index.docs.schema[c].dataType.typeName() == "array" else F.col(c) for c in stored]
         ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", DIGITS).desc(), "doc_id")))
         docs = self.index.docs.select(F.col("doc_id").cast("long").alias("doc_id"), *first)
-        # k rows at most on one side
-        return docs.join(F.broadcast(ranked), "doc_id").select("rank", "doc_id", "score", F.to_json(F.struct(*stored)).alias("fields"))
+        return docs.join(F.broadcast(ranked) if k <= MAX_K else ranked, "doc_id").select("rank", "doc_id", "score", F.to_json(F.struct(*stored)).alias("fields"))
 
     def batch(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """The k best for every query of (query_id, field, term), a row for each term: terms are optional, and repeated ones count again.
 
-        All queries go through one scan, one join on the term and one aggregation.
+        The queries' terms get their weights first, so postings meet them in one join and are aggregated once.
         """
         asked = queries.groupBy("query_id", "field", "term").agg(F.count("*").alias("times"))
-        wanted = asked.select("field", "term").distinct()
-        rows = self.index.postings.drop("positions").join(wanted, ["field", "term"], "left_semi")
-        scored = scored_postings(self.index, rows, self.similarity).join(asked, ["field", "term"])
+        scored = self._asked(asked, positions=False)
         sums = scored.groupBy("query_id", "doc_id").agg(F.sum(F.col("score") * F.col("times")).alias("score"))
-        rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "doc_id"))
-        return sums.withColumn("rank", rank).where(F.col("rank") <= max(1, k)).select("query_id", "rank", "doc_id", "score")
+        return _best(sums, k)
+
+    def batch_pairs(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """The k best for every query of (query_id, kind, field, a, b): kind 'term' is a alone, 'and' both, 'phrase' b right behind a.
+
+        Terms stand as they are in the index.  All kinds are columns of one aggregation.
+        """
+        one, both = F.array(F.struct(F.lit(0).alias("slot"), F.col("a").alias("term"))), F.array(F.struct(F.lit(0).alias("slot"), F.col("a").alias("term")), F.struct(F.lit(1).alias("slot"), F.col("b").alias("term")))
+        asked = queries.select("query_id", "kind", "field", F.explode(F.when(F.col("kind") == "term", one).otherwise(both)).alias("x")).select("query_id", "kind", "field", "x.slot", "x.term")
+        phrase = F.col("kind") == "phrase"
+        at = lambda i: F.first(F.when(phrase & (F.col("slot") == i), F.col("positions")), ignorenulls=True)
+        by = self._asked(asked, positions=True).groupBy("query_id", "kind", "doc_id").agg(
+            F.sum("score").alias("total"), F.count("*").alias("slots"), F.sum("idf").alias("idf"), F.first("len").alias("len"), F.first("avg_len").alias("avg_len"), at(0).alias("p"), at(1).alias("q")
+        )
+        freq = F.size(F.array_intersect("p", F.transform("q", lambda x: x - 1)))
+        both_there = (F.col("kind") == "term") | (F.col("slots") == 2)
+        score = F.when(~phrase, F.col("total")).when(freq > 0, self.similarity.score(freq, F.col("idf"), F.col("len"), F.col("avg_len")))
+        return _best(by.where(both_there).select("query_id", "doc_id", score.alias("score")).where("score IS NOT NULL"), k)
+
+    def _asked(self, asked: DataFrame, positions: bool) -> DataFrame:
+        """Postings of live documents with the rows of ``asked`` (field, term, ...) that want them, idf, avg_len and score."""
+        ix = self.index
+        df = ix.dictionary().select("field", "term", "df").join(asked.select("field", "term").distinct(), ["field", "term"], "left_semi")
+        weighted = asked.join(term_weights(ix, df, self.similarity), ["field", "term"])
+        rows = ix.postings if positions else ix.postings.drop("positions")
+        return ix.live(rows).join(weighted, ["field", "term"]).withColumn("score", self.similarity.score(F.col("tf"), F.col("idf"), F.col("len"), F.col("avg_len")))
+
+
+def _best(scores: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "doc_id"))
+    return scores.withColumn("rank", rank).where(F.col("rank") <= max(1, k)).select("query_id", "rank", "doc_id", "score")
 
 
 @dataclass(frozen=True)

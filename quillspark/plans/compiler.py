@@ -42,19 +42,28 @@ def _selects(leaf: Query) -> Column:
     return in_field & F.col("term").startswith(leaf.prefix)
 
 
-def scored_postings(index: Index, rows: DataFrame, similarity: Similarity, few_terms: bool = False) -> DataFrame:
-    """``rows`` of live documents with idf, avg_len and score.  df is counted before deleted documents go.
+def term_weights(index: Index, df: DataFrame, similarity: Similarity) -> DataFrame:
+    """(field, term, idf, avg_len) of (field, term, df); df counts deleted documents, N doesn't."""
+    n = index.stats().select(F.greatest("num_docs", F.lit(1)).alias("n"))  # one row
+    per_field = index.field_stats().select("field", "avg_len")  # a row for each field of the schema
+    known = df.join(F.broadcast(per_field), "field", "left").crossJoin(F.broadcast(n))
+    return known.select("field", "term", similarity.idf(F.col("df"), F.col("n")).alias("idf"), F.coalesce("avg_len", F.lit(0.0)).alias("avg_len"))
+
+
+def scored_postings(index: Index, rows: DataFrame, similarity: Similarity, few_terms: bool = False, selects: Column | None = None) -> DataFrame:
+    """``rows`` of live documents with idf, avg_len and score; ``selects`` is what chose their terms, if that is known.
 
     ``few_terms``: the rows are of terms that a query lists, so the table of their frequencies has no more rows than
-    that and is broadcast; otherwise (prefixes, tables of queries) the planner decides by its size.
+    that and is broadcast; otherwise (prefixes) the planner decides by its size.
     """
-    df = rows.groupBy("field", "term").agg(F.count("*").alias("df"))
-    n = index.stats().select(F.greatest("num_docs", F.lit(1)).alias("n"))
-    per_field = index.field_stats().select("field", "avg_len")
-    # the averages have a row for each field of the index's schema, n is one row
-    known = index.live(rows).join(F.broadcast(df) if few_terms else df, ["field", "term"]).join(F.broadcast(per_field), "field", "left").crossJoin(F.broadcast(n))
-    known = known.withColumn("idf", similarity.idf(F.col("df"), F.col("n")))
-    return known.withColumn("score", similarity.score(F.col("tf"), F.col("idf"), F.col("len"), F.coalesce("avg_len", F.lit(0.0))))
+    if index.terms_table is not None:
+        df = index.dictionary().select("field", "term", "df")
+        df = df.where(selects) if selects is not None else df
+    else:
+        df = rows.groupBy("field", "term").agg(F.count("*").alias("df"))
+    weights = term_weights(index, df, similarity)
+    known = index.live(rows).join(F.broadcast(weights) if few_terms and selects is not None else weights, ["field", "term"])
+    return known.withColumn("score", similarity.score(F.col("tf"), F.col("idf"), F.col("len"), F.col("avg_len")))
 
 
 def compile_query(q: Query, index: Index, similarity: Similarity | None = None) -> DataFrame:
@@ -70,12 +79,13 @@ def compile_query(q: Query, index: Index, similarity: Similarity | None = None)
     if not distinct or not _can_match(q):
         return empty
     if textual:
-        rows = index.postings.where(reduce(lambda a, b: a | b, map(_selects, textual)))
+        selects = reduce(lambda a, b: a | b, map(_selects, textual))
+        rows = index.postings.where(selects)
         if not any(isinstance(x, PhraseQuery) for x in textual):
             rows = rows.drop("positions")
         aggregated, finish = _leaf_columns(textual, similarity)
         few = not any(isinstance(x, PrefixQuery) for x in textual)
-        by_doc = scored_postings(index, rows, similarity, few).groupBy("doc_id").agg(*aggregated).select("doc_id", *finish)
+        by_doc = scored_postings(index, rows, similarity, few, selects).groupBy("doc_id").agg(*aggregated).select("doc_id", *finish)
     else:
         by_doc = spark.createDataFrame([], "doc_id long")
     if len(textual) < len(distinct):  # a clause matches all: start from the live documents

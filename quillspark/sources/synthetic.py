@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Documents of the harness by default.
+DOCUMENTS = 50_000
+
 
 def _base36(n: Column) -> Column:
     return F.lower(F.conv(n.cast("string"), 10, 36))
