@@ -1,4 +1,4 @@
-"""Text analysis as column expressions: everything but stemming stays in the JVM.
+"""Text analysis as column expressions: everything but stemming and offsets stays in the JVM.
 
 ``tokens`` gives terms with character offsets and positions, ``analyzed`` what an index needs: the terms that
 survive, with their positions across the values of a field.
@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Collection
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,18 +28,27 @@ def words(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """array<struct<term, start, end, pos_inc>>: lower-case tokens with character offsets, nothing removed."""
-    parts = words(text)
-    # the text between tokens, split by tokens, gives the offsets without a search for every token
-    gaps = F.split(F.coalesce(text, F.lit("")), TOKEN)
-    start = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.aggregate(F.slice(gaps, 1, i), F.lit(0), lambda a, x: a + F.length(x)) + F.aggregate(F.slice(parts, 1, i - 1), F.lit(0), lambda a, x: a + F.length(x)))
-    made = F.transform(F.arrays_zip(parts.alias("w"), start.alias("s")), lambda z: F.struct(F.lower(z["w"]).alias("term"), z["s"].alias("start"), (z["s"] + F.length(z["w"])).alias("end"), F.lit(1).alias("pos_inc")))
-    return F.when(F.size(parts) == 0, F.array().cast("array<struct<term:string,start:int,end:int,pos_inc:int>>")).otherwise(made)
+    """array<struct<term, start, end, pos_inc>>: lower-case tokens with character offsets, nothing removed.
+
+    Offsets come from one walk over the text, in Arrow batches: a running sum over tokens would be quadratic in SQL.
+    """
+
+    @F.pandas_udf("array<struct<term:string,start:int,end:int,pos_inc:int>>")
+    def run(texts: pd.Series) -> pd.Series:
+        import regex
+
+        token = regex.compile(TOKEN)
+        return texts.map(lambda t: [{"term": m[0].lower(), "start": m.start(), "end": m.end(), "pos_inc": 1} for m in token.finditer(t or "")])
+
+    return run(F.coalesce(text, F.lit("")))
 
 
 @dataclass(frozen=True)
 class Analyzer:
-    """Tokens, lower case, stop words, and stems if asked for; ``custom`` replaces it all by array<string> -> array<string>."""
+    """Tokens, lower case, stop words, and stems if asked for.
+
+    ``custom``, text -> array<string>, takes the place of all four: its terms stand as they come.
+    """
 
     stop: Collection[str] = STOP_WORDS
     stemming: bool = False
@@ -48,6 +58,8 @@ class Analyzer:
         """array<struct<term, r>> of the surviving terms; r is the token's place before removal."""
         all_terms = self.custom(text) if self.custom else F.transform(words(text), F.lower)
         both = F.transform(all_terms, lambda t, i: F.struct(t.alias("term"), i.alias("r")))
+        if self.custom:
+            return both
         if self.stop:
             both = F.filter(both, lambda x: ~x["term"].isin(list(self.stop)))
         if self.stemming:

@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -81,10 +83,16 @@ def stem(word: str) -> str:
 
 
 def stemmed(terms: Column) -> Column:
-    """Stems of an array of terms, in place; each worker keeps the stems it has made."""
-
-    @F.pandas_udf("array<string>")
-    def run(rows: pd.Series) -> pd.Series:
-        return rows.map(lambda r: None if r is None else [stem(t) for t in r])
+    """Stems of an array of terms, in place.  A batch's distinct terms are stemmed once each, and the arrays are made from these."""
+
+    @F.arrow_udf("array<string>")
+    def run(rows: pa.Array) -> pa.Array:
+        coded = rows.flatten().dictionary_encode()
+        stems = pa.array([None if t is None else stem(t) for t in coded.dictionary.to_pylist()], pa.string())
+        sizes = pc.fill_null(pc.list_value_length(rows), 0)
+        off = np.zeros(len(rows) + 1, np.int32)
+        np.cumsum(np.asarray(sizes), out=off[1:])
+        offsets = pa.array(off, mask=np.r_[np.asarray(rows.is_null()), False])
+        return pa.ListArray.from_arrays(offsets, stems.take(coded.indices))
 
     return run(terms)
