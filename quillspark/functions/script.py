@@ -1,8 +1,9 @@
 """A small ECMAScript dialect for page scripts, compiled to Python closures.
 
 Statements: var/let/const (all block-scoped), if, while, for, for-of, for-in, functions, return, break, continue.
-No prototypes, exceptions, classes, switch, arrow functions, templates or regular expressions.  A script has a budget of steps and
-a limit on call depth, so it can't hang a task.  Values are None (null), UNDEF, bool, float, str, Array, Object and callables.
+No prototypes, exceptions, classes, switch, arrow functions, templates or regular expressions.  A script has a budget of steps,
+from which texts and arrays that are copied take their share, and limits on call depth and on the length of a text, so it
+can't hang a task or fill its memory.  Values are None (null), UNDEF, bool, float, str, Array, Object and callables.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from decimal import ROUND_HALF_UP, Decimal
 from quillspark.functions import css
 from quillspark.functions.html import Node, parse, title
 
-MAX_STEPS, MAX_DEPTH = 10_000_000, 1000
+MAX_STEPS, MAX_DEPTH, MAX_TEXT = 10_000_000, 1000, 1 << 24
 _KEYWORDS = frozenset("var let const function return if else while for do true false null undefined new typeof break continue this in of".split())
 _LEX = re.compile(
     r"(?P<skip>\s+|//[^\n]*|/\*.*?(?:\*/|$))|(?P<num>(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d*)?)|(?P<str>\"(?:\\.|[^\"\\])*\\?(?:\"|$)|'(?:\\.|[^'\\])*\\?(?:'|$))|(?P<id>[^\W\d][\w$]*|\$[\w$]*)|(?P<op>===|!==|==|!=|<=|>=|&&|\|\||\+\+|--|\+=|-=|\*=|/=|%=|=>|.)",
@@ -287,6 +288,13 @@ def _at(s: str, a: list) -> str:
     return s[i] if 0 <= i < len(s) else ""
 
 
+def _repeated(s: str, a: list) -> str:
+    n = max(0, _int(_num(a, 0)))
+    if len(s) * n > MAX_TEXT:
+        raise ScriptError("RangeError: Invalid string length")
+    return s * n
+
+
 _STRING: dict[str, Callable[[str, list], object]] = {
     "charAt": _at,
     "charCodeAt": lambda s, a: float(ord(_at(s, a))) if _at(s, a) else math.nan,
@@ -302,7 +310,7 @@ _STRING: dict[str, Callable[[str, list], object]] = {
     "substring": _substring,
     "split": _split,
     "replace": lambda s, a: s.replace(_str(a, 0), _str(a, 1), 1),
-    "repeat": lambda s, a: s * max(0, _int(_num(a, 0))),
+    "repeat": _repeated,
     "concat": lambda s, a: s + "".join(map(show, a)),
     "toString": lambda s, a: s,
 }
@@ -315,7 +323,10 @@ def _fixed(d: float, a: list) -> str:
 
 
 def _grown(v: Array, new: list, front: bool) -> float:
-    v.items[:] = new + v.items if front else v.items + new
+    if front:
+        v.items[:0] = new
+    else:
+        v.items += new
     return float(len(v.items))
 
 
@@ -430,6 +441,18 @@ class Machine:
         finally:
             sys.setrecursionlimit(limit)
 
+    def charge(self, copied: int) -> None:
+        """Take characters or elements that were copied from the budget."""
+        if copied > MAX_TEXT:
+            raise ScriptError("RangeError: Invalid string length")
+        self.left -= copied >> 6
+        if self.left < 0:
+            raise ScriptError("RangeError: script exceeded its execution budget")
+
+    def charged(self, size: int, f: Callable, v: object, a: list) -> object:
+        self.charge(size)
+        return f(v, a)
+
     def call(self, f: object, this: object, args: list) -> object:
         if not callable(f):
             raise ScriptError(f"TypeError: {show(f)} is not a function")
@@ -448,11 +471,11 @@ class Machine:
             if name in ("map", "filter", "forEach"):
                 return self._each(v, name)
             if name in _ARRAY:
-                return lambda t, a: _ARRAY[name](v, a)
+                return lambda t, a: self.charged(len(v.items) if name not in ("push", "pop") else 0, _ARRAY[name], v, a)
         if isinstance(v, Object):
             return v.get(name)
         if isinstance(v, str):
-            return float(len(v)) if name == "length" else (lambda t, a: _STRING[name](v, a)) if name in _STRING else UNDEF
+            return float(len(v)) if name == "length" else (lambda t, a: self.charged(len(v), _STRING[name], v, a)) if name in _STRING else UNDEF
         if isinstance(v, float) and name in ("toFixed", "toString"):
             return lambda t, a: _fixed(v, a) if name == "toFixed" else show_number(v)
         return UNDEF
@@ -538,7 +561,10 @@ class _Compiler:
             m.left -= 1
             if m.left < 0:
                 raise ScriptError("RangeError: script exceeded its execution budget")
-            return f(s)
+            v = f(s)
+            if type(v) is str and len(v) > 256:
+                m.charge(len(v))
+            return v
 
         return run
 

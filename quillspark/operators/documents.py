@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable, Iterator
-from urllib.parse import urljoin, urlparse
+from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,7 +102,8 @@ def text_content(nodes: DataFrame, of: DataFrame, key: str = "page_id") -> DataF
     return joined.groupBy(key, "node_id").agg(F.array_join(F.transform(parts, lambda x: x["data"]), "").alias("text"))
 
 
-def first_with_id(nodes: DataFrame, value: str, key: str = "page_id") -> DataFrame:
+def by_id(nodes: DataFrame, value: str, key: str = "page_id") -> DataFrame:
+    """(key, node_id) of each page's first element with the id."""
     return nodes.where((F.col("kind") == "element") & (F.col("attrs")["id"] == value)).groupBy(key).agg(F.min("node_id").alias("node_id"))
 
 
@@ -222,15 +223,19 @@ def _page(text: str, scripts: bool, resources: dict[str, str] | None = None, url
     return document
 
 
+def _base(document: html.Node, url: str | None) -> str:
+    """A page's address, joined with the first base element that has one."""
+    for b in document.by_tag("base"):
+        if b.attrs.get("href", "").strip():
+            return urljoin(url or "", b.attrs["href"].strip())
+    return url or ""
+
+
 def _fetch(document: html.Node, url: str | None, resources: dict[str, str] | None) -> Callable[[str], str | None] | None:
     """Resolve against the page's address (and its base element) and look in the given resources."""
     if not resources:
         return None
-    base = url or ""
-    for b in document.by_tag("base"):
-        if b.attrs.get("href", "").strip():
-            base = urljoin(base, b.attrs["href"].strip())
-            break
+    base = _base(document, url)
     return lambda ref: resources.get(urljoin(base, ref))
 
 
@@ -280,10 +285,16 @@ def load_pages(pages: DataFrame, resources: DataFrame, key: str = "page_id", scr
 
     References are resolved from each page's own elements and joined, so a page carries only what it asks for.
     """
-    refs = html_nodes(pages, key).where("(tag = 'link' AND attrs['href'] IS NOT NULL) OR (tag = 'script' AND attrs['src'] IS NOT NULL) OR (tag = 'base' AND attrs['href'] IS NOT NULL)")
-    base = refs.where("tag = 'base'").groupBy(key).agg(F.min_by(F.col("attrs")["href"], "node_id").alias("base"))
-    join_url = F.udf(lambda url, base, ref: urljoin(urljoin(url or "", (base or "").strip()), (ref or "").strip()))
-    wanted = refs.where("tag <> 'base'").join(base, key, "left").join(pages.select(key, "url"), key).select(key, join_url("url", "base", F.coalesce(F.col("attrs")["href"], F.col("attrs")["src"])).alias("uri")).distinct()
+
+    def asked(text: str, url: str | None) -> Iterator[tuple]:
+        document = html.parse(text)
+        base = _base(document, url)
+        for e in document.by_tag("*"):
+            ref = e.attrs.get({"link": "href", "script": "src"}.get(e.tag, ""), "").strip()
+            if ref:
+                yield (urljoin(base, ref),)
+
+    wanted = per_row(pages, key, ["html", "url"], asked, "uri string").distinct()
     given = wanted.join(resources.select("uri", "content"), "uri").groupBy(key).agg(F.collect_list(F.struct("uri", "content")).alias("given"))
 
     def rows(text: str, url: str | None, given: list | None) -> Iterator[tuple]:
@@ -300,7 +311,3 @@ def load_pages(pages: DataFrame, resources: DataFrame, key: str = "page_id", scr
 def loadable(url: Column) -> Column:
     """Only http and https addresses are fetched."""
     return F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))).isin("http", "https")
-
-
-def is_http(url: str) -> bool:
-    return urlparse(url).scheme.lower() in ("http", "https")
