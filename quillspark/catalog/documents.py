@@ -85,9 +85,9 @@ def html_serialize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.serialize(pages(spark, sf_dir))
 
 
-@register("element_classes", "SELECT page_id, 'ad' AS class FROM pages")
+@register("element_classes", f"""SELECT page_id, unnest(string_split(trim(c), ' ')) AS class FROM (SELECT page_id, unnest(regexp_extract_all({_BARE}, '<[a-zA-Z][^>]* class="([^"]*)"', 1)) AS c FROM pages)""")
 def element_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = d.html_nodes(pages(spark, sf_dir)).where("kind = 'element' AND tag = 'div'")
+    n = d.html_nodes(pages(spark, sf_dir)).where("kind = 'element'")
     return n.select("page_id", F.explode(d.class_list(F.col("attrs"))).alias("class"))
 
 
@@ -188,11 +188,11 @@ def js_string_fns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("js_array_fns", """SELECT vec_id, list_concat(v, [9.0]) AS pushed, v[-1] AS popped, v[2:] AS shifted, list_concat([9.0], v) AS unshifted, array_to_string(list_transform(v, lambda x: floor(x)::int::varchar), ',') AS joined,
 coalesce(list_position(v, v[3]), 0)::int - 1 AS index_of, list_contains(v, 5.0) AS includes, v[2:3] AS sliced, list_reverse(v) AS reversed, list_transform(v, lambda x: x * 2) AS mapped, list_filter(v, lambda x: x > 0) AS filtered
-FROM (SELECT vec_id, list_transform(embedding[1:4], lambda x: x::double) AS v FROM embeddings)""")
+FROM (SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings)""")
 def js_array_fns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The array functions of scripts as columns."""
     v = F.col("v")
-    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 4).alias("v"))
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
     return e.select(
         "vec_id", F.array_append(v, F.lit(9.0)).alias("pushed"), F.element_at(v, -1).alias("popped"), F.slice(v, F.lit(2), F.size(v) - 1).alias("shifted"), F.array_prepend(v, F.lit(9.0)).alias("unshifted"), F.array_join(F.transform(v, lambda x: F.floor(x).cast("string")), ",").alias("joined"),
         (F.array_position(v, v[2]) - 1).cast("int").alias("index_of"), F.array_contains(v, 5.0).alias("includes"), F.slice(v, 2, 2).alias("sliced"), F.reverse(v).alias("reversed"), F.transform(v, lambda x: x * 2).alias("mapped"), F.filter(v, lambda x: x > 0).alias("filtered"),

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -13,7 +10,7 @@ from pyspark.sql import functions as F
 
 from quillspark.catalog.search import _TOK, SPEC, corpus
 from quillspark.functions import optimize as o
-from quillspark.functions import text_json, vectors
+from quillspark.functions import text_json, varint, vectors
 from quillspark.functions.analysis import Analyzer
 from quillspark.functions.similarity import BM25
 from quillspark.operators.documents import prepare
@@ -21,6 +18,8 @@ from quillspark.operators.index import FieldType, IndexSpec
 from quillspark.operators.search import Searcher
 from quillspark.plans.query import TermQuery
 from quillspark.sources import store, synthetic
+from quillspark.sources.folders import Folder, scratch
+from quillspark.sources.service import LiveService
 from quillspark.streaming import events as ev
 
 Q = Callable[[SparkSession, str], DataFrame]
@@ -42,30 +41,36 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder: in the cluster's shared folder where one is configured, otherwise (one machine) a temporary one."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    path = f"{(shared or tempfile.gettempdir()).removeprefix('file:').replace('///', '/')}/quill-{uuid.uuid4().hex}"
-    os.makedirs(path)
-    return path
-
-
-# ---------------------------------------------------------------- durability
+# ---- durability
 
 
 @register("segment_roundtrip", f"WITH {_TOK} SELECT doc_id, term, tf, positions FROM post")
 def segment_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
-    store.write_segment(corpus(spark, sf_dir), f"file://{path}/gen-1")
-    p = store.read_segment(spark, f"file://{path}/gen-1", SPEC).postings
+    """Documents to a new segment on disk, and its postings back."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), "lang", "source")
+    p = store.build_segment(docs, IndexSpec({"body": FieldType.TEXT}), scratch(spark)).postings
     return p.select("doc_id", "term", F.col("tf").cast("long").alias("tf"), F.col("positions").cast("array<long>").alias("positions"))
 
 
-@register("segment_checksums")
+@register("segment_checksums", "SELECT * FROM (VALUES ('as written', 0, true), ('one file changed', 1, false)) t(state, damaged, opens)")
 def segment_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
-    store.write_segment(corpus(spark, sf_dir, ("lang",)), f"file://{path}/gen-1")
-    return store.checksums(spark, f"file://{path}/gen-1")
+    """A segment of all fields, verified on opening, before and after a file of it is overwritten."""
+    docs, path, rows = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), "lang", "source"), scratch(spark), []
+    store.build_segment(docs, SPEC, path)
+    folder = Folder(spark, path)
+
+    def note(state: str) -> None:
+        try:
+            opens = store.read_segment(spark, path, SPEC, verify=True) is not None
+        except OSError:
+            opens = False
+        rows.append((state, store.damaged(spark, path).count(), opens))
+
+    note("as written")
+    name = next(n for n in folder.names("lengths") if n.endswith(".parquet"))
+    folder.write(f"lengths/{name}", folder.read(f"lengths/{name}") + b"!")
+    note("one file changed")
+    return spark.createDataFrame(rows, "state string, damaged int, opens boolean")
 
 
 def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +90,37 @@ def wal_torn_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.sound(damaged).select("seq", "op")
 
 
+@register("wal_torn_json", "SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN 'DELETE' ELSE 'ADD' END AS op FROM events WHERE event_id < 700")
+def wal_torn_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as files of a hundred lines each, one line of which is cut in half: replay ends before it."""
+    made = _log(spark, sf_dir).withColumn("crc", store.record_crc())
+    line = F.to_json(F.struct(*made.columns))
+    lines = made.select("seq", F.when(F.col("seq") == 700, F.substring(line, 1, 20)).otherwise(line).alias("line"))
+    files = lines.groupBy((F.floor(F.col("seq") / 100) * 100).alias("file")).agg(F.min("seq").alias("first"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "line"))), lambda x: x["line"]), "\n").alias("text"))
+    return store.sound(store.log_records(files.select("first", F.concat("text", F.lit("\n")).alias("text")))).select("seq", "op")
+
+
+@register("live_service", "SELECT * FROM (VALUES ('added', 'body:fox', 3, 1), ('asked again', 'body:fox', 3, 1), ('deleted', 'body:fox', 2, 2), ('committed', 'body:fox', 2, 3)) t(step, query, hits, snapshots)")
+def live_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A service that adds, deletes and commits, and makes a snapshot only when a search needs one."""
+    spec = IndexSpec({"id": FieldType.KEYWORD, "body": FieldType.TEXT})
+    service = LiveService(store.DurableIndex(prepare(spark), scratch(spark), spec, "id string, body string"), "body")
+    rows = []
+
+    def note(step: str) -> None:
+        query, total, _ = service.search("Fox")
+        rows.append((step, query, total.first()[0], service.snapshots))
+
+    service.add([{"id": f"d{i}", "body": "quick brown fox"} for i in range(3)])
+    note("added")
+    note("asked again")
+    service.delete("id", "d1")
+    note("deleted")
+    service.commit()
+    note("committed")
+    return spark.createDataFrame(rows, "step string, query string, hits long, snapshots int")
+
+
 @register("commit_generations", "SELECT * FROM (VALUES ('before commit', 0, 2, 3, 1), ('committed', 1, 2, 3, 1), ('reopened', 1, 3, 4, 1), ('second commit', 2, 3, 4, 1)) t(step, generation, num_docs, max_doc, num_deleted)")
 def commit_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Adds, a delete, a commit, a reopening with a later add, and another commit."""
@@ -168,12 +204,13 @@ def events_session(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("latency_percentiles", """WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events)
 SELECT event_type, p, value FROM r, (VALUES (0.5::double), (0.95), (0.99)) t(p) WHERE i = floor(p * (n - 1) + 0.5::double)""")
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nearest-rank percentiles from counts of distinct values, so that no group is collected or sorted as a whole."""
-    h = read(spark, sf_dir, "events").groupBy("event_type", "value").agg(F.count("*").alias("c"))
-    w = Window.partitionBy("event_type")
-    h = h.withColumn("upto", F.sum("c").over(w.orderBy("value"))).withColumn("n", F.sum("c").over(w))
-    at = h.withColumn("p", F.explode(F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))).withColumn("i", F.floor(F.col("p") * (F.col("n") - 1) + 0.5))
-    return at.where("i < upto AND i >= upto - c").select("event_type", "p", "value")
+    return ev.nearest_ranks(read(spark, sf_dir, "events"), "event_type", "value", [0.5, 0.95, 0.99])
+
+
+@register("varint_sizes", "SELECT event_id, CASE WHEN event_id < 128 THEN 1 WHEN event_id < 16384 THEN 2 WHEN event_id < 2097152 THEN 3 ELSE 4 END AS size, 5 AS negative FROM events")
+def varint_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("event_id")
+    return read(spark, sf_dir, "events").select("event_id", varint.size(n).alias("size"), varint.size(-n - 1).alias("negative"))
 
 
 # ---------------------------------------------------------------- vectors
@@ -270,16 +307,15 @@ def ndcg(scored: DataFrame, k: int = 10) -> float:
 
 @register("tune_bm25")
 def tune_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k1, b) by coordinate ascent on NDCG, the gain being a document's quality label."""
+    """(k1, b) by coordinate ascent on NDCG over all benchmark texts as queries, the gain being a document's quality label.
+
+    The postings that the queries meet are joined once and written; a trial of (k1, b) aggregates them.
+    """
     ix = corpus(spark, sf_dir)
-    terms = ["thin", "erin", "than", "thor"]
-    rows = ix.postings.drop("positions").where(F.col("term").isin(terms))
+    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("body").alias("field"), F.explode(F.array_distinct(Analyzer().terms(F.col("text")))).alias("term"))
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("gain"))
-    from quillspark.plans.compiler import scored_postings
-
-    prepared = scored_postings(ix, rows, BM25(), few_terms=True).join(labels, "doc_id").select(F.col("term").alias("query_id"), "doc_id", "tf", "len", "idf", "avg_len", "gain")
-    path = f"file://{scratch(spark)}/tuning"
-    prepared.write.parquet(path)  # evaluated many times
+    path = scratch(spark, "tuning")
+    Searcher(ix)._asked(asked, positions=False).join(labels, "doc_id").select("query_id", "doc_id", "tf", "len", "idf", "avg_len", "gain").write.parquet(path)
     prepared = spark.read.parquet(path)
     seen: dict[tuple[float, float], float] = {}
 
@@ -288,30 +324,29 @@ def tune_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k1 < 0 or not 0 <= b <= 1:
             return float("-inf")
         if (k1, b) not in seen:
-            s = BM25(k1, b)
-            seen[k1, b] = ndcg(prepared.withColumn("score", s.score(F.col("tf"), F.col("idf"), F.col("len"), F.col("avg_len"))))
+            s = BM25(k1, b).score(F.col("tf"), F.col("idf"), F.col("len"), F.col("avg_len"))
+            seen[k1, b] = ndcg(prepared.groupBy("query_id", "doc_id").agg(F.sum(s).alias("score"), F.first("gain").alias("gain")))
         return seen[k1, b]
 
     r = o.coordinate_ascent(value, [1.2, 0.75], sweeps=2, tolerance=0.1, step=0.4)
     return spark.createDataFrame([(float(r.point[0]), float(r.point[1]), float(r.value), len(seen))], "k1 double, b double, ndcg double, evaluations int")
 
 
-# ---------------------------------------------------------------- synthetic corpus
+# ---- synthetic corpus
 
 
 @register("synthetic_corpus")
 def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return synthetic.corpus(spark, 2000)
+    return synthetic.corpus(spark, synthetic.DOCUMENTS)
 
 
 @register("synthetic_batch")
 def synthetic_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The harness's term queries over its corpus, all in one plan."""
-    from quillspark.operators.index import build_index
-
-    ix = build_index(synthetic.corpus(spark, 2000), IndexSpec({"body": FieldType.TEXT}, Analyzer()))
-    q = synthetic.queries(spark, 200).where("kind <> 'phrase'").select("query_id", F.lit("body").alias("field"), F.explode(F.array("a", "b")).alias("term"))
-    return Searcher(ix).batch(q)
+    """The harness's queries of all three kinds over its whole corpus, in one plan."""
+    path = scratch(spark)
+    store.build_segment(synthetic.corpus(spark, synthetic.DOCUMENTS), IndexSpec({"body": FieldType.TEXT}), path)
+    q = synthetic.queries(spark).withColumn("field", F.lit("body"))
+    return Searcher(store.read_segment(spark, path)).batch_pairs(q)
 
 
 @register("delete_by_id", "SELECT count(*) - 1 AS num_docs, count(*) AS max_doc, 1 AS num_deleted FROM documents")

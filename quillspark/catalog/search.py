@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from quillspark.functions.analysis import STOP_WORDS, Analyzer, KeywordAnalyzer, field_terms, tokens, words
 from quillspark.functions.similarity import BM25, Similarity, TfIdf
+from quillspark.functions.stemmer import stemmed
+from quillspark.operators.documents import prepare
 from quillspark.operators.index import FieldType, Index, IndexSpec, build_index
 from quillspark.operators.search import Searcher, SearchService
 from quillspark.plans.parser import QueryParser
 from quillspark.plans.query import BooleanQuery, MatchAllQuery, PhraseQuery, PrefixQuery, Query, TermQuery
+from quillspark.sources import store
 
 Q = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Q] = {}
@@ -32,12 +35,14 @@ def register(name: str, oracle: str | None = None) -> Callable[[Q], Q]:
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def corpus(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("body",)) -> Index:
-    docs = read(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("body"), "lang", "source")
-    return build_index(docs, IndexSpec({f: SPEC.fields[f] for f in fields}))
+    """The index of documents, built once for a session and opened by every query."""
+    source = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet")
+    docs = source.select("doc_id", F.col("text").alias("body"), "lang", "source")
+    return store.stored_index(source, SPEC, docs).only(list(fields))
 
 
 # ---------------------------------------------------------------- SQL building blocks
@@ -110,9 +115,7 @@ def keyword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("stem_terms")
 def stem_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stems of the distinct terms: one row for each, stemmed after the aggregation."""
-    from quillspark.functions.stemmer import stemmed
-
-    distinct = read(spark, sf_dir, "documents").select(F.explode(Analyzer().terms(F.col("text"))).alias("term")).distinct()
+    distinct = prepare(spark).read.parquet(f"{sf_dir}/documents.parquet").select(F.explode(Analyzer().terms(F.col("text"))).alias("term")).distinct()
     return distinct.select("term", stemmed(F.array("term"))[0].alias("stem"))
 
 
