@@ -56,19 +56,18 @@ class Searcher:
     def batch_pairs(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """The k best for every query of (query_id, kind, field, a, b): kind 'term' is a alone, 'and' both, 'phrase' b right behind a.
 
-        Terms stand as they are in the index.  All kinds are columns of one aggregation.
+        Terms stand as they are in the index.  Positions are read for phrases only.
         """
         one, both = F.array(F.struct(F.lit(0).alias("slot"), F.col("a").alias("term"))), F.array(F.struct(F.lit(0).alias("slot"), F.col("a").alias("term")), F.struct(F.lit(1).alias("slot"), F.col("b").alias("term")))
         asked = queries.select("query_id", "kind", "field", F.explode(F.when(F.col("kind") == "term", one).otherwise(both)).alias("x")).select("query_id", "kind", "field", "x.slot", "x.term")
         phrase = F.col("kind") == "phrase"
-        at = lambda i: F.first(F.when(phrase & (F.col("slot") == i), F.col("positions")), ignorenulls=True)
-        by = self._asked(asked, positions=True).groupBy("query_id", "kind", "doc_id").agg(
-            F.sum("score").alias("total"), F.count("*").alias("slots"), F.sum("idf").alias("idf"), F.first("len").alias("len"), F.first("avg_len").alias("avg_len"), at(0).alias("p"), at(1).alias("q")
-        )
+        sums = self._asked(asked.where(~phrase), positions=False).groupBy("query_id", "kind", "doc_id").agg(F.sum("score").alias("score"), F.count("*").alias("slots"))
+        whole = sums.where("kind = 'term' OR slots = 2").select("query_id", "doc_id", "score")
+        at = lambda i: F.first(F.when(F.col("slot") == i, F.col("positions")), ignorenulls=True)
+        pairs = self._asked(asked.where(phrase), positions=True).groupBy("query_id", "doc_id").agg(F.sum("idf").alias("idf"), F.first("len").alias("len"), F.first("avg_len").alias("avg_len"), at(0).alias("p"), at(1).alias("q"))
         freq = F.size(F.array_intersect("p", F.transform("q", lambda x: x - 1)))
-        both_there = (F.col("kind") == "term") | (F.col("slots") == 2)
-        score = F.when(~phrase, F.col("total")).when(freq > 0, self.similarity.score(freq, F.col("idf"), F.col("len"), F.col("avg_len")))
-        return _best(by.where(both_there).select("query_id", "doc_id", score.alias("score")).where("score IS NOT NULL"), k)
+        adjacent = pairs.where(freq > 0).select("query_id", "doc_id", self.similarity.score(freq, F.col("idf"), F.col("len"), F.col("avg_len")).alias("score"))
+        return _best(whole.unionByName(adjacent), k)
 
     def _asked(self, asked: DataFrame, positions: bool) -> DataFrame:
         """Postings of live documents with the rows of ``asked`` (field, term, ...) that want them, idf, avg_len and score."""

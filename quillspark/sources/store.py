@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import uuid
+import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -175,12 +176,13 @@ class DurableIndex:
                 self.folder.write(f"log/{name}", "".join(x + "\n" for x in lines[: self.next_seq - int(first)]).encode())
 
     def _append(self, records: list[dict]) -> None:
-        first = self.next_seq
-        rows = [(first + k, r["op"], r.get("doc"), r.get("field"), r.get("term")) for k, r in enumerate(records)]
-        made = self.spark.createDataFrame(rows, "seq long, op string, doc string, field string, term string").withColumn("crc", record_crc())
-        lines = [r.j for r in made.select("seq", F.to_json(F.struct(*made.columns)).alias("j")).orderBy("seq").collect()]
-        self.folder.write(f"log/{first:020d}.json", "".join(x + "\n" for x in lines).encode())
-        self.next_seq += len(rows)
+        lines = []
+        for seq, r in enumerate(records, self.next_seq):
+            whole = {"seq": seq, "op": r["op"]} | {k: r[k] for k in ("doc", "field", "term") if r.get(k) is not None}
+            crc = zlib.crc32("\u0001".join([str(seq), *(whole.get(k, "") for k in ("op", "doc", "field", "term"))]).encode())
+            lines.append(json.dumps(whole | {"crc": crc}, ensure_ascii=False))
+        self.folder.write(f"log/{self.next_seq:020d}.json", "".join(x + "\n" for x in lines).encode())
+        self.next_seq += len(records)
 
     def add_documents(self, docs: list[dict]) -> None:
         if docs:

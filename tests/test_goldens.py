@@ -10,6 +10,9 @@ from quillspark.operators import documents as d
 from quillspark.operators.index import FieldType, IndexSpec, build_index, numbered
 from quillspark.operators.search import MAX_K, Searcher, SearchService
 from quillspark.plans.parser import QueryParseError, QueryParser
+from quillspark.plans.query import BooleanQuery, PhraseQuery, TermQuery
+from quillspark.sources import store, synthetic
+from quillspark.sources.folders import scratch
 
 STEMS = """caresses:caress ponies:poni ties:ti caress:caress cats:cat feed:feed agreed:agre plastered:plaster bled:bled motoring:motor sing:sing conflated:conflat
 troubled:troubl sized:size hopping:hop falling:fall hissing:hiss filing:file happy:happi sky:sky relational:relat conditional:condit valenci:valenc digitizer:digit
@@ -60,6 +63,19 @@ def test_queries(small):
     assert [names[r.doc_id] for r in Searcher(small).matches(both).collect()] == ["d2"]
 
 
+def test_batches_equal_single_searches(spark):
+    docs = synthetic.corpus(spark, 600, vocabulary=40)
+    searcher = Searcher(store.build_segment(docs, IndexSpec({"body": FieldType.TEXT}), scratch(spark)))
+    asked = synthetic.queries(spark, 9, vocabulary=40).withColumn("field", F.lit("body"))
+    got = {}
+    for r in searcher.batch_pairs(asked, 5).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append((r.doc_id, round(r.score, 6)))
+    for r in asked.collect():
+        a, b = TermQuery("body", r.a), TermQuery("body", r.b)
+        query = {"term": a, "and": BooleanQuery.builder().must(a).must(b).build(), "phrase": PhraseQuery("body", [r.a, r.b])}[r.kind]
+        assert got.get(r.query_id, []) == [(x.doc_id, round(x.score, 6)) for x in searcher.search(query, 5).collect()], r.kind
+
+
 @pytest.mark.parametrize("text", ['body:"fault tolerant', "(fault", "title:(a OR (b)", '"'])
 def test_broken_queries(text):
     with pytest.raises(QueryParseError):
