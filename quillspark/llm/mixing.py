@@ -6,8 +6,6 @@ floor(j / w) and the deadline ceil((j + 1) / w), in slots of one block; in each
 the earliest deadline is taken.  As the weights sum to 1 this meets every deadline, so after any number of
 slots every source has had its share up to less than one block.  Weights are exact fractions and nothing is
 rounded, so the driver computes the schedule of the whole mix: one number for each ``BLOCK`` characters of it.
-``ORACLE`` takes weights rounded to slots of a period; its mix is the same at sf0.001 and sf0.01 (23 and 82 slots)
-but not at sf0.1, where 472 of 769 slots differ.
 
 The mix ends when every source has been used up once; a source that is used up earlier starts again (another
 epoch), so no document is lost and the weights hold to the end.  Target weights are a parameter (any positive
@@ -42,7 +40,6 @@ EPOCHS = 4
 CHUNK = 1024
 #: Sizes up to which the schedule is broadcast: a row for each source, and 8 bytes for each slot (16 MB).
 BROADCAST_SOURCES, BROADCAST_SLOTS = 100_000, 2_000_000
-MOST_SLOTS = 1 << 20  # of ORACLE
 
 
 def shares_of(blocks: Mapping[str, int], weights: Mapping[str, float] | None = None) -> dict[str, int]:
@@ -124,24 +121,23 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, block: int
     return rows.select(F.col("slot").cast("long").alias("slot"), "source", F.col("block").cast("long").alias("block"), F.col("epoch").cast("long").alias("epoch"), F.col("id").alias("doc_id"), F.col("start").cast("long").alias("start"))
 
 
+#: Quotients within 1e-9 of a whole number count as that number: sums of doubles stand for the exact fractions here.
 ORACLE = f"""
 WITH RECURSIVE d AS (SELECT doc_id, coalesce(source, '') AS source, md5(coalesce(doc_id::varchar, '')) AS o, length(coalesce(text, ''))::bigint AS chars FROM documents),
 st AS (SELECT *, coalesce(sum(chars) OVER (PARTITION BY source ORDER BY o, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::bigint AS start FROM d),
 n AS (SELECT source, greatest(1, (sum(chars)::bigint + {BLOCK - 1}) // {BLOCK}) AS n FROM d GROUP BY source),
-w AS (SELECT source, n, least(pow((SELECT max(n) FROM n)::double, {1 - ALPHA}) * pow(n::double, {ALPHA}), {EPOCHS}.0::double * n) AS want FROM n),
-q AS (SELECT sum(want ORDER BY source) AS total, least({MOST_SLOTS}, greatest(1000, floor(2 * sum(want ORDER BY source) / min(want))::bigint + 1)) AS period FROM w),
-k AS (SELECT source, n, greatest(1, floor(want / total * period + 0.5::double)::bigint) AS k, row_number() OVER (ORDER BY source) AS i FROM w, q),
-l AS (SELECT list(k ORDER BY i) AS kk, sum(k)::bigint AS p, count(*)::bigint AS m FROM k),
-e AS (SELECT -1::bigint AS t, list_transform(kk, lambda x: 0::bigint) AS c, 0::bigint AS pick FROM l
+w AS (SELECT source, n, row_number() OVER (ORDER BY source) AS i, least(pow((SELECT max(n) FROM n)::double, {1 - ALPHA}) * pow(n::double, {ALPHA}), {EPOCHS}.0::double * n) AS want FROM n),
+l AS (SELECT list((SELECT sum(want ORDER BY i) FROM w) / want ORDER BY i) AS gap, list(n ORDER BY i) AS need, count(*)::bigint AS m FROM w),
+e AS (SELECT -1::bigint AS t, list_transform(need, lambda x: 0::bigint) AS c, 0::bigint AS pick FROM l
   UNION ALL
   SELECT t + 1, list_transform(c, lambda x, j: CASE WHEN j = b THEN x + 1 ELSE x END), b FROM (
-    SELECT t, c, list_min([((c[j] + 1) * p + kk[j] - 1) // kk[j] * 1000000 + j for j in range(1, m + 1) if c[j] < kk[j] and c[j] * p // kk[j] <= t + 1]) % 1000000 AS b, p FROM e, l WHERE t + 1 < p)),
-a AS (SELECT source, n, k, p, t, row_number() OVER (PARTITION BY source ORDER BY t) - 1 AS j FROM e JOIN k ON k.i = e.pick, l),
-z AS (SELECT max((n - 1) // k * p + t) + 1 AS stop FROM a WHERE j = (n - 1) % k),
-u AS (SELECT source, n, k, p, stop // p * k + count(*) FILTER (t < stop % p) AS used FROM a, z GROUP BY source, n, k, p, stop),
-b AS (SELECT doc_id, st.source, start, n, k, p, used, least(start // {BLOCK}, n - 1) AS block FROM st JOIN u USING (source)),
+    SELECT t, c, list_min([ceil((c[j] + 1) * gap[j] - 1e-9)::bigint * 1000000 + j for j in range(1, m + 1) if floor(c[j] * gap[j] + 1e-9) <= t + 1]) % 1000000 AS b FROM e, l
+    WHERE len([j for j in range(1, m + 1) if c[j] < need[j]]) > 0)),
+a AS (SELECT source, n, t, row_number() OVER (PARTITION BY source ORDER BY t) - 1 AS j, count(*) OVER (PARTITION BY source) AS used FROM e JOIN w ON w.i = e.pick),
+u AS (SELECT DISTINCT source, n, used FROM a),
+b AS (SELECT doc_id, st.source, start, n, used, least(start // {BLOCK}, n - 1) AS block FROM st JOIN u USING (source)),
 r AS (SELECT *, unnest(range((used - 1 - block) // n + 1)) AS epoch FROM b)
-SELECT (block + epoch * r.n) // r.k * r.p + a.t AS slot, r.source, block, epoch, doc_id, start FROM r JOIN a ON a.source = r.source AND a.j = (block + epoch * r.n) % r.k
+SELECT a.t AS slot, r.source, block, epoch, doc_id, start FROM r JOIN a ON a.source = r.source AND a.j = block + epoch * r.n
 """
 
 
