@@ -63,11 +63,14 @@ def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.titles(pages(spark, sf_dir))
 
 
-@register("html_text")
+_ARTICLE = f"regexp_replace(regexp_extract({_BARE}, '<article>(.*)</article>', 1, 's'), '<[^>]*>', '', 'g')"
+
+
+@register("html_text", f"SELECT page_id, {_unescaped(_ARTICLE)} AS text FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text below every article element."""
     nodes = d.html_nodes(pages(spark, sf_dir))
-    return d.text_content(nodes, nodes.where("tag = 'article'"))
+    return d.text_content(nodes, nodes.where("tag = 'article'")).select("page_id", "text")
 
 
 @register("html_links", r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""")
@@ -155,7 +158,7 @@ def page_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.page_heights(pages(spark, sf_dir))
 
 
-@register("js_console")
+@register("js_console", f"SELECT page_id, [len(regexp_extract_all({_BARE}, '<p>')) || CASE WHEN trim({_unescaped(_TITLE)}) <> '' THEN ' true' ELSE ' false' END] AS console FROM pages")
 def js_console(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages with a script that reports on the page itself."""
     s = "<script>var ps = document.getElementsByTagName('p'); console.log(ps.length, document.title.length > 0); document.title = 'n' + ps.length;</script>"
