@@ -146,7 +146,7 @@ def commit_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "step string, generation int, num_docs long, max_doc long, num_deleted long")
 
 
-# ---------------------------------------------------------------- JSON
+# ---- JSON
 
 
 @register("json_parse_props", "SELECT event_id, (props->>'$.k')::bigint AS k, json_keys(props)::varchar[] AS keys FROM events")
@@ -169,7 +169,7 @@ def json_write(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "embeddings").select("vec_id", text_json.written(F.struct(F.col("vec_id").alias("id"), F.col("label").alias("label"), nan.alias("lost"))).alias("json"))
 
 
-# ---------------------------------------------------------------- events
+# ---- events
 
 
 _LIMIT = """WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
@@ -213,7 +213,7 @@ def varint_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", varint.size(n).alias("size"), varint.size(-n - 1).alias("negative"))
 
 
-# ---------------------------------------------------------------- vectors
+# ---- vectors
 
 _VEC = "(SELECT vec_id, list_transform(embedding, lambda x: x::double) AS v FROM embeddings) a, (SELECT list_transform(embedding, lambda x: x::double) AS u FROM embeddings WHERE vec_id = 0) b"
 
@@ -240,7 +240,7 @@ def vector_axpy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vec(spark, sf_dir).select("vec_id", r(vectors.axpy(0.5, v, u)).alias("sum"), r(vectors.subtract(v, u)).alias("difference"), vectors.scale(2, v).alias("doubled"), vectors.negate(v).alias("negated"))
 
 
-# ---------------------------------------------------------------- optimization
+# ---- optimization
 
 
 @register("simplex_solve", "SELECT * FROM (VALUES (1, 'OPTIMAL', 36.0::double), (2, 'OPTIMAL', 20.0), (3, 'INFEASIBLE', NULL), (4, 'UNBOUNDED', NULL), (5, 'OPTIMAL', 45.0)) t(lp, status, value)")

@@ -45,7 +45,7 @@ def corpus(spark: SparkSession, sf_dir: str, fields: tuple[str, ...] = ("body",)
     return store.stored_index(source, SPEC, docs).only(list(fields))
 
 
-# ---------------------------------------------------------------- SQL building blocks
+# ---- SQL building blocks
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _RE = r"'[\p{L}\p{Nd}]+'"
@@ -80,7 +80,7 @@ def _out(df: DataFrame) -> DataFrame:
     return df.select("doc_id", F.round("score", 6).alias("score"))
 
 
-# ---------------------------------------------------------------- analysis
+# ---- analysis
 
 
 @register("tokenize_counts", f"WITH {_TOK} SELECT doc_id, count(*) AS n_tokens, count(DISTINCT term) AS n_terms FROM tok GROUP BY doc_id")
@@ -124,7 +124,7 @@ def analyze_stemmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select("doc_id", Analyzer(stemming=True).terms(F.col("text")).alias("terms"))
 
 
-# ---------------------------------------------------------------- index
+# ---- index
 
 
 @register("postings", f"WITH {_TOK} SELECT doc_id, term, tf, positions FROM post")
@@ -194,7 +194,7 @@ def multi_value_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", F.explode(field_terms(F.col("values"), Analyzer())).alias("x")).select("conv_id", "x.term", F.col("x.pos").cast("long").alias("pos"))
 
 
-# ---------------------------------------------------------------- deletes
+# ---- deletes
 
 _DEAD = f"WITH {_TOK}, dead AS (SELECT doc_id FROM post WHERE term = 'thin')"
 
@@ -214,7 +214,7 @@ def bm25_after_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _out(Searcher(corpus(spark, sf_dir).delete_by_term("body", "thin")).matches(TermQuery("body", "erin")))
 
 
-# ---------------------------------------------------------------- queries over body
+# ---- queries over body
 
 
 def _matches(query: Query, spark: SparkSession, sf_dir: str, similarity: Similarity | None = None, fields: tuple[str, ...] = ("body",)) -> DataFrame:
@@ -279,7 +279,7 @@ def total_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Searcher(corpus(spark, sf_dir)).total_hits(B().should(_t("thin")).should(_t("erin")).build())
 
 
-# ---------------------------------------------------------------- query language
+# ---- query language
 
 
 def _dsl(text: str, spark: SparkSession, sf_dir: str, default_and: bool = False, fields: tuple[str, ...] = ("body",)) -> DataFrame:
@@ -331,7 +331,7 @@ def dsl_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(str(p.parse(q)), i) for i, q in enumerate(["thin -erin", '"thin erin" AND lang:fr', "thi*", ""])], "query string, id int")
 
 
-# ---------------------------------------------------------------- batches and service
+# ---- batches and service
 
 _BATCH = f"""WITH {BM25_CTE}, q AS (SELECT item_id AS query_id, lower(unnest(regexp_extract_all(text, {_RE}))) AS term FROM benchmark),
 a AS (SELECT query_id, term, count(*) AS times FROM q WHERE term NOT IN ({_STOP}) GROUP BY ALL),

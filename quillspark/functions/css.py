@@ -117,7 +117,7 @@ def parse(css: str | None) -> list[Rule]:
     return rules
 
 
-# ---------------------------------------------------------------- values
+# ---- values
 
 _GREYS = {"black": 0, "gray": 128, "grey": 128, "silver": 192, "lightgray": 211, "lightgrey": 211, "darkgray": 169, "darkgrey": 169, "white": 255}
 NAMED = {k: (v, v, v, 255) for k, v in _GREYS.items()} | {
@@ -187,7 +187,7 @@ def value(raw: str | None) -> Value:
     return Value("keyword", keyword=s.lower())
 
 
-# ---------------------------------------------------------------- cascade over a tree
+# ---- cascade over a tree
 
 
 class Styled:

@@ -50,7 +50,7 @@ class Box:
         return self.outer(self.padding, self.border, self.margin)
 
 
-# ---------------------------------------------------------------- box tree
+# ---- box tree
 
 
 def _hidden(s: Styled) -> bool:
@@ -90,7 +90,7 @@ def boxes(s: Styled) -> Box:
     return box
 
 
-# ---------------------------------------------------------------- layout
+# ---- layout
 
 
 class _Lengths:
@@ -208,7 +208,7 @@ def layout_document(root: Styled, viewport: float) -> Box:
     return box
 
 
-# ---------------------------------------------------------------- paint
+# ---- paint
 
 
 def _border_color(s: Styled) -> tuple[int, int, int, int] | None:

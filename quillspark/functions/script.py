@@ -93,7 +93,7 @@ class Array(Object):
             super().set(name, value)
 
 
-# ---------------------------------------------------------------- conversions
+# ---- conversions
 
 
 def _int(x: float) -> int:
@@ -216,7 +216,7 @@ _BINARY: dict[str, Callable[[object, object], object]] = {
 _LEVELS = [("||",), ("&&",), ("==", "!=", "===", "!=="), ("<", ">", "<=", ">="), ("+", "-"), ("*", "/", "%")]
 
 
-# ---------------------------------------------------------------- scopes and methods
+# ---- scopes and methods
 
 
 class Scope:
@@ -408,7 +408,7 @@ def _math() -> Object:
     return m
 
 
-# ---------------------------------------------------------------- machine
+# ---- machine
 
 
 class Machine:
@@ -976,7 +976,7 @@ class _Compiler:
         return make
 
 
-# ---------------------------------------------------------------- the page
+# ---- the page
 
 
 class _Wrapped(Object):

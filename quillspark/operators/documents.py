@@ -50,7 +50,7 @@ def per_row(df: DataFrame, key: str, columns: list[str], f: Callable[..., Iterab
     return df.select(key, *columns).mapInArrow(run, out)
 
 
-# ---------------------------------------------------------------- HTML
+# ---- HTML
 
 TOKENS = "seq int, kind string, name string, data string, attrs map<string,string>, self_closing boolean"
 NODES = "node_id int, parent_id int, ord int, depth int, kind string, tag string, attrs map<string,string>, data string, path array<int>"
@@ -120,7 +120,7 @@ def serialize(pages: DataFrame, key: str = "page_id", column: str = "html") -> D
     return per_row(pages, key, [column], lambda t: [(html.parse(t).inner_html(),)], "html string")
 
 
-# ---------------------------------------------------------------- CSS
+# ---- CSS
 
 
 def css_rules(sheets: DataFrame, key: str, column: str) -> DataFrame:
@@ -210,7 +210,7 @@ def color_rgba(raw: Column) -> Column:
     return F.when(hexed != "", from_hex).when(s.startswith("rgb(") | s.startswith("rgba("), F.when(good, from_call)).otherwise(F.try_element_at(named, s))
 
 
-# ---------------------------------------------------------------- layout and paint
+# ---- layout and paint
 
 BOXES = "box int, depth int, tag string, anonymous boolean, x double, y double, width double, height double, border_x double, border_y double, border_width double, border_height double, margin_height double, n_lines int"
 COMMANDS = "seq int, kind string, x double, y double, width double, height double, text string, font_size double, bold boolean, color string"
@@ -266,7 +266,7 @@ def page_heights(pages: DataFrame, width: float = 800.0, least: int = 600, key:
     return per_row(pages, key, [column], lambda t: [(max(least, math.ceil(_laid_out(html.parse(t), width).margin_box()[3])),)], "page_height int")
 
 
-# ---------------------------------------------------------------- scripts and whole pages
+# ---- scripts and whole pages
 
 
 def run_scripts(pages: DataFrame, key: str = "page_id", column: str = "html", max_steps: int = script.MAX_STEPS) -> DataFrame:
