@@ -24,7 +24,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import _powers, equal_ranges, mix, prepare, steps, table
+from quillspark.llm.common import _powers, eights, equal_ranges, mix, prepare, steps, table
 from quillspark.llm.pretokens import VOCABULARY, codepoints, encoding, ranks_of, starts
 from quillspark.llm.token_counts import hash_ranges
 
@@ -78,7 +78,7 @@ class Encoder:
         lo, at = int(self.edge[n]), int(self.char_edge[n])
         while lo + len(got) > len(self.flat):
             self.flat = np.r_[self.flat, np.zeros_like(self.flat)]
-        while at + len(piece) > len(self.chars):
+        while at + len(piece) + 8 > len(self.chars):
             self.chars = np.r_[self.chars, np.zeros_like(self.chars)]
         self.flat[lo : lo + len(got)], self.chars[at : at + len(piece)] = got, piece
         self.edge[n + 1], self.char_edge[n + 1] = lo + len(got), at + len(piece)
@@ -103,7 +103,8 @@ class Encoder:
             found[k] = known[int(u[k])] = self.keep(cp[lo : lo + size[first[k]]])
         which = found[inv]
         odd = self.char_edge[which + 1] - self.char_edge[which] != size
-        odd[~odd] = ~equal_ranges(cp, at[~odd], self.chars, self.char_edge[which[~odd]], size[~odd])
+        padded = np.concatenate([cp, np.zeros(8, np.uint32)])
+        odd[~odd] = ~equal_ranges(eights(padded), at[~odd], eights(self.chars), self.char_edge[which[~odd]], size[~odd])
         for k in np.flatnonzero(odd).tolist():
             which[k] = self.keep(cp[at[k] : at[k] + size[k]])
         lo = self.edge[which]

@@ -151,15 +151,26 @@ class Ranges:
         return mix((a << np.uint64(32) | b) + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+#: Bits of the first n of eight characters of 32 bits, as four words.
+_FIRST = np.array([[0xFFFFFFFFFFFFFFFF if n >= 2 * w + 2 else 0xFFFFFFFF if n == 2 * w + 1 else 0 for w in range(4)] for n in range(9)], np.uint64)
+
+
+def eights(characters: np.ndarray) -> np.ndarray:
+    """The eight characters (32 bits each) at every place; the last eight begin no more."""
+    return np.ndarray((max(0, len(characters) - 7),), "V32", characters, strides=(4,))
+
+
 def equal_ranges(a: np.ndarray, at: np.ndarray, b: np.ndarray, other: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether a[at[i] : at[i] + size[i]] equals b[other[i] : other[i] + size[i]]."""
+    """Whether the ``size[i]`` characters at at[i] equal those at other[i]; a and b are ``eights`` of characters with
+    eight more behind the last range."""
     out = np.ones(len(size), bool)
-    total = int(size.sum())
-    if total:
-        inside = np.arange(total) - np.repeat(np.cumsum(size) - size, size)
-        differ = a[np.repeat(at, size) + inside] != b[np.repeat(other, size) + inside]
-        if differ.any():
-            out[np.repeat(np.arange(len(size)), size)[differ]] = False
+    left, done = np.arange(len(size)), 0
+    while len(left):
+        x, y = (v[place[left] + done].view(np.uint64).reshape(-1, 4) for v, place in ((a, at), (b, other)))
+        bad = ((x ^ y) & _FIRST[np.minimum(size[left] - done, 8)]).any(axis=1)
+        out[left[bad]] = False
+        done += 8
+        left = left[~bad & (size[left] > done)]
     return out
 
 

@@ -21,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillspark.llm.common import _powers, equal_ranges, mix, prepare, steps, table
+from quillspark.llm.common import _powers, eights, equal_ranges, mix, prepare, steps, table
 from quillspark.llm.pretokens import VOCABULARY, codepoints, encoding, ranks_of, starts
 
 SAMPLE = 400
@@ -48,10 +48,11 @@ class Table:
     def __init__(self, pieces: dict[str, int], slots: int = SLOTS) -> None:
         kept = {p: k for p, k in pieces.items() if 0 < k < 65536 and len(p) <= LONGEST}
         n = np.fromiter(kept.values(), np.int64, len(kept))
-        self.chars, off = codepoints(list(kept))
+        chars, off = codepoints(list(kept))
+        self.chars = np.concatenate([chars, np.zeros(8, np.uint32)])
         self.keys, self.counts = np.zeros(slots, np.uint64), np.zeros(slots, np.uint16)
         self.at, self.size = np.zeros(slots, np.int32), np.zeros(slots, np.uint8)
-        h, left = hash_ranges(self.chars, off[:-1], off[1:]), np.arange(len(kept))
+        h, left = hash_ranges(chars, off[:-1], off[1:]), np.arange(len(kept))
         for probe in range(2):
             slot = ((h[left] + np.uint64(probe)) & np.uint64(slots - 1)).astype(np.int64)
             free = self.keys[slot] == 0
@@ -62,8 +63,8 @@ class Table:
             self.at[slot], self.size[slot] = off[which], off[which + 1] - off[which]
             left = np.delete(left, took)
 
-    def look_up(self, h: np.ndarray, cp: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
-        """Counts of the ranges with these hashes, 0 where the table has none."""
+    def look_up(self, h: np.ndarray, text: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Counts of the ranges of ``text`` (``eights``) with these hashes, 0 where the table has none."""
         low = np.uint64(len(self.keys) - 1)
         out = np.zeros(len(h), np.int64)
         left = np.arange(len(h))
@@ -71,7 +72,7 @@ class Table:
             slot = ((h[left] + np.uint64(probe)) & low).astype(np.int64)
             hit = np.flatnonzero((self.keys[slot] == h[left]) & (self.size[slot] == size[left]))
             i, slot = left[hit], slot[hit]
-            same = equal_ranges(cp, start[i], self.chars, self.at[slot], size[i])
+            same = equal_ranges(text, start[i], eights(self.chars), self.at[slot], size[i])
             out[i[same]] = self.counts[slot[same]]
             left = np.delete(left, hit[same])
         return out
@@ -84,13 +85,14 @@ def count_tokens(texts: list[str], tab: Table, enc, cache: dict[str, int]) -> np
         return np.zeros(len(texts), np.int64)
     size = np.diff(np.r_[s, len(cp)])
     h = hash_ranges(cp, s, s + size)
-    n = tab.look_up(h, cp, s, size)
+    text = eights(np.concatenate([cp, np.zeros(8, np.uint32)]))
+    n = tab.look_up(h, text, s, size)
     miss = np.flatnonzero(n == 0)
     if len(miss):
         _, first, inv = np.unique(h[miss], return_index=True, return_inverse=True)
         lead = miss[first[inv]]
         odd = size[lead] != size[miss]
-        odd[~odd] = ~equal_ranges(cp, s[miss[~odd]], cp, s[lead[~odd]], size[miss[~odd]])
+        odd[~odd] = ~equal_ranges(text, s[miss[~odd]], text, s[lead[~odd]], size[miss[~odd]])
         which = np.r_[miss[first], miss[odd]]  # one of each hash, and all that differ from it
         pieces = [cp[a:z].tobytes().decode("utf-32-le", "surrogatepass") for a, z in zip(s[which].tolist(), (s + size)[which].tolist(), strict=True)]
         if len(cache) + len(pieces) > CACHE:

@@ -3,6 +3,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from quillspark.llm import bpe, token_counts
+from quillspark.llm.common import eights, equal_ranges
 from quillspark.llm.pretokens import VOCABULARY, codepoints, encoding, ranks_of, starts
 
 RANKS = ranks_of(VOCABULARY)
@@ -76,4 +77,13 @@ def test_pretokens_that_share_a_hash():
     one = bpe.Encoder(RANKS)
     assert [one.encode([t])[0].tolist() for t in texts] == [ENC.encode_ordinary(t) for t in texts]
     table = token_counts.Table({t: len(ENC.encode_ordinary(t)) for t in ("ab", " ab")}, 4)
-    assert table.look_up(np.array(table.keys[table.keys > 0][:1]), np.frombuffer("xy".encode("utf-32-le"), np.uint32), np.array([0]), np.array([2])).tolist() == [0]
+    assert table.look_up(np.array(table.keys[table.keys > 0][:1]), eights(np.frombuffer(("xy" + "\0" * 8).encode("utf-32-le"), np.uint32)), np.array([0]), np.array([2])).tolist() == [0]
+
+
+@given(st.lists(st.tuples(st.text("ab\U0001f600", max_size=30), st.text("ab\U0001f600", max_size=30)), min_size=1, max_size=20))
+def test_ranges_that_are_equal(pairs):
+    pairs = [(x, y[: len(x)].ljust(len(x), "a")) for x, y in pairs]
+    texts = [eights(np.frombuffer(("".join(t) + "\0" * 8).encode("utf-32-le"), np.uint32)) for t in zip(*pairs, strict=True)]
+    size = np.array([len(x) for x, _ in pairs])
+    at = np.cumsum(size) - size
+    assert equal_ranges(texts[0], at, texts[1], at, size).tolist() == [x == y for x, y in pairs]
