@@ -2,7 +2,7 @@
 
 Two tiers, both on the map side.  A compact hash table (open addressing in flat arrays) has the token
 counts and the characters of frequent pre-tokens: those that are tokens of the vocabulary themselves, and the
-frequent ones of a bounded sample of documents (``SAMPLE`` rows, those whose ids hash lowest).  A hash only finds
+frequent ones of a bounded sample of documents (``SAMPLE`` rows, the first that are read).  A hash only finds
 the place; the characters are compared, so a count never hangs on a hash.  The table's size is bounded by ``SLOTS``
 and ``LONGEST``, so the broadcast doesn't grow with the corpus.  A pre-token that it lacks is encoded once for each
 worker and kept, by its characters, in the worker's cache, which is emptied at ``CACHE`` entries.
@@ -113,8 +113,7 @@ def frequent(docs: DataFrame, ranks: dict[bytes, int], sample: int = SAMPLE, slo
     """Pre-tokens and their counts of tokens for the table, at most half of its slots."""
     enc = encoding(ranks)
     pieces: dict[str, int] = {}
-    order = F.xxhash64(F.col("doc_id").cast("long"))
-    for r in docs.select(F.col("text").cast("string").alias("text"), order.alias("order")).where("text <> ''").orderBy("order", "text").limit(sample).collect():
+    for r in docs.select(F.col("text").cast("string").alias("text")).where("text <> ''").limit(sample).collect():
         cp, off = codepoints([r.text])
         s = starts(cp, off).tolist()
         for a, b in zip(s, [*s[1:], len(r.text)], strict=True):
