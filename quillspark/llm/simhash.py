@@ -4,18 +4,19 @@ Each document gets a 256-bit SimHash of its set of words.  Two documents are nea
 fingerprints differ in at most ``RADIUS`` bits; groups are the connected components of that relation,
 and the smallest ``doc_id`` of a group stays.
 
-*Search.*  Equal fingerprints collapse first.  The rest is spread over buckets by sampled bits: table t
-takes ``b`` of the bits, and fingerprints that agree on all of them share a bucket.  ``b`` follows the
-logarithm of the number of fingerprints, so that buckets don't grow with the corpus, and the number of
-tables follows from ``b`` so that a pair at ``RADIUS`` meets in some table with probability ``RECALL``,
-whatever the corpus; closer pairs meet more surely.  In a bucket, fingerprints are in the order of their Gray rank; runs of ``FANOUT`` become
-nodes, level by level, which keep a mask of the bits shared by everything below and the pattern of
-these bits.  The join descends from (root, root): the differences between the shared bits of two nodes
+*Search.*  Every pair within the radius is found, whatever the corpus.  Equal fingerprints collapse first.  The rest falls
+into groups of about ``BLOCK`` by a hash of the id, and every two groups meet in some task.  There the bits are
+cut into chunks, each with a threshold of its own; the thresholds and ones sum to more than the radius, so a pair
+within it is within the threshold of some chunk (were it above in all, its differences would add up to more).  So
+fingerprints with one chunk are a node, a node is compared with those nodes whose chunk differs by at most
+the threshold, and what is below them is compared bit by bit.  ``chunks`` picks the cut that costs least for the size of a task,
+down to all pairs for small ones.  A node of more than ``CROWD`` fingerprints, a cluster, goes down a hierarchy of Gray ranks
+instead: runs of ``FANOUT`` become nodes, level by level, which keep a mask of the bits shared by everything below
+and the pattern of these bits.  The join descends from (root, root): the differences between the shared bits of two nodes
 are a lower bound for every pair below them, so one comparison discards whole groups; with all bits that
 aren't shared they are an upper bound, so one comparison also accepts whole groups, without their pairs.
-All buckets of a chunk descend together.
 
-*Groups.*  Every bucket sends only a spanning forest of its pairs (at most one edge for each
+*Groups.*  Every task sends only a spanning forest of its pairs (at most one edge for each
 fingerprint), and large-star/small-star rounds, each written to the checkpoint folder, join these.
 
 Cases: a null or empty text, or one of white space only, has no fingerprint and is in no group.  A text
@@ -27,6 +28,7 @@ have any name.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -41,7 +43,10 @@ from quillspark.llm.common import Texts, keep_rows, mix, prepare, steps, table,
 BITS = 256
 RADIUS = 46
 FANOUT = 8
-RECALL = 0.98
+#: Fingerprints of a group, tasks at least where there are several chunks, and fingerprints of a node that make it a cluster.
+BLOCK, TASKS, CROWD = 1 << 20, 48, 1 << 11
+#: Seconds, about, of comparing a pair bit by bit and of visiting a node; only the choice of a cut depends on them.
+PAIR_S, NODE_S = 6e-9, 60e-6
 _LANES = BITS // 64
 _SALT = np.array([0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0x082EFA98EC4E6C89], np.uint64)
 
@@ -128,10 +133,150 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def plan(n: int) -> tuple[int, int]:
-    """Sampled bits of a bucket key, and tables, for n fingerprints."""
-    b = min(40, max(10, round(math.log2(max(n, 2))) - 7))
-    same = math.prod((BITS - RADIUS - i) / (BITS - i) for i in range(b))  # a pair at the radius agrees on b of the bits
-    return b, math.ceil(math.log(1 - RECALL) / math.log(1 - same))
+    """Groups of n fingerprints, and among how many tasks the chunks of each two groups are shared out."""
+    groups = max(1, -(-n // BLOCK))
+    return groups, max(1, min(16, -(-TASKS // (groups * (groups + 1) // 2))))
+
+
+def chunks(rows: int, pairs: int, radius: int = RADIUS) -> list[tuple[int, int, int]]:
+    """(first bit, bits, threshold) of the chunks for a task of so many rows on its left and so many pairs; none: all pairs.
+
+    A pair that is above the threshold in every chunk differs in at least sum(threshold + 1) > radius bits.
+    """
+    best: list[tuple[int, int, int]] = []
+    least = pairs * PAIR_S
+    for m in range(10, 29):  # chunks of 25 to 9 bits
+        edge = [BITS * k // m for k in range(m + 1)]
+        cut = [(a, z - a, (radius + 1) // m - 1 + (k < (radius + 1) % m)) for k, (a, z) in enumerate(zip(edge[:-1], edge[1:], strict=True))]
+        cut = [c for c in cut if c[2] >= 0]  # a chunk below 0 holds no pair
+        balls = [sum(math.comb(w, d) for d in range(most + 1)) for _, w, most in cut]
+        cost = sum(min(rows, 2**w) * (NODE_S + ball * 5e-9) + 1.5 * ball / 2**w * pairs * PAIR_S for (_, w, _), ball in zip(cut, balls, strict=True))
+        if cost < least:
+            best, least = cut, cost
+    return best
+
+
+def _close(x: np.ndarray, y: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j) of the pairs of x (4, n) and y (4, m) within ``radius``: half of the bits of all, the others of what is left."""
+    d = np.bitwise_count(x[0][:, None] ^ y[0])
+    d += np.bitwise_count(x[1][:, None] ^ y[1])
+    at = np.flatnonzero(d <= radius)
+    i, j = np.divmod(at, y.shape[1])
+    d = d.ravel()[at].astype(np.int16)
+    for k in range(2, _LANES):
+        d += np.bitwise_count(x[k][i] ^ y[k][j])
+    ok = d <= radius
+    return i[ok], j[ok]
+
+
+class _Forest:
+    """Groups of n rows that grow by pairs; pairs of one group are dropped at once, so pairs of a cluster aren't kept."""
+
+    def __init__(self, n: int) -> None:
+        self.root = np.arange(n)
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.count = 0
+
+    def add(self, i: np.ndarray, j: np.ndarray) -> None:
+        x, y = self.root[i], self.root[j]
+        new = x != y
+        if new.any():
+            self.held.append((x[new], y[new]))
+            self.count += int(new.sum())
+            if self.count > 1 << 16:
+                self.settle()
+
+    def settle(self) -> np.ndarray:
+        if self.held:
+            x, y = map(np.concatenate, zip(*self.held, strict=True))
+            low, member = forest(np.minimum(x, y), np.maximum(x, y))
+            to = np.arange(len(self.root))
+            to[member] = low
+            self.root = to[self.root]
+            self.held, self.count = [], 0
+        return self.root
+
+
+def _compare(found: _Forest, x: np.ndarray, xi: np.ndarray, y: np.ndarray, yi: np.ndarray, radius: int, most: int = 1 << 17) -> None:
+    """All pairs of x (4, n) and y (4, m), rows xi and yi, in tiles of at most ``most``."""
+    for c in range(0, y.shape[1], most):
+        part, at = y[:, c : c + most], yi[c : c + most]
+        step = max(1, most // part.shape[1])
+        for r in range(0, x.shape[1], step):
+            i, j = _close(x[:, r : r + step], part, radius)
+            if len(i):
+                found.add(xi[r + i], at[j])
+
+
+def _chunk(lanes: np.ndarray, first: int, width: int) -> np.ndarray:
+    """Bits first .. first + width of the lanes (4, n)."""
+    lane, shift = divmod(first, 64)
+    key = lanes[lane] >> np.uint64(shift)
+    if shift + width > 64:
+        key = key | lanes[lane + 1] << np.uint64(64 - shift)
+    return (key & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def _nodes(lanes: np.ndarray, rows: np.ndarray, chunk: tuple[int, int, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The fingerprints and their rows in the order of their chunk, and where each node (a value of it) begins."""
+    key = _chunk(lanes, *chunk[:2])
+    order = np.argsort(key, kind="stable")
+    begin = np.zeros((1 << chunk[1]) + 1, np.int64)
+    np.cumsum(np.bincount(key, minlength=1 << chunk[1]), out=begin[1:])
+    return np.ascontiguousarray(lanes[:, order]), rows[order], begin
+
+
+def near_rows(code: np.ndarray, right: np.ndarray | None = None, radius: int = RADIUS, part: int = 0, parts: int = 1) -> np.ndarray:
+    """The smallest row of each row's component, by the pairs within ``radius`` of all rows of ``code``, or between the rows that
+    aren't ``right`` and those that are.  Of several parts each takes its share of the chunks; together they find all pairs."""
+    found = _Forest(len(code))
+    every = np.arange(len(code))
+    a = every if right is None else every[~right]
+    b = a if right is None else every[right]
+    if not len(a) or not len(b):
+        return found.root
+    x = np.ascontiguousarray(code[a].T)
+    y = x if right is None else np.ascontiguousarray(code[b].T)
+    cut = chunks(len(a), len(a) * len(b) // (1 + (right is None)), radius)
+    if not cut:  # all pairs: the rows on the left are shared out
+        step = 256
+        for r in range(part * step, len(a), parts * step):
+            some, upto = slice(r, r + step), 0 if right is not None else r
+            _compare(found, x[:, some], a[some], y[:, upto:], b[upto:], radius)
+        return found.settle()
+    for chunk in cut[part::parts]:
+        _, width, most = chunk
+        xs, xi, xb = _nodes(x, a, chunk)
+        ys, yi, yb = (xs, xi, xb) if right is None else _nodes(y, b, chunk)
+        ball = np.array([sum(1 << k for k in on) for d in range(most + 1) for on in itertools.combinations(range(width), d)])
+        for node in np.flatnonzero(np.diff(xb)).tolist():
+            lo, hi = int(xb[node]), int(xb[node + 1])
+            near = ball ^ node
+            if right is None:
+                near = near[near >= node]  # the other way round is the other node's
+                if hi - lo > CROWD:
+                    near = near[near != node]
+                    _crowd(found, xs[:, lo:hi], xi[lo:hi], radius)
+            begin = yb[near]
+            size = yb[near + 1] - begin
+            some = size > 0
+            begin, size = begin[some], size[some]
+            ends = np.cumsum(size)
+            if not len(ends):
+                continue
+            per = np.flatnonzero(np.diff(ends // (1 << 20), prepend=-1))  # neighbours are gathered about a million at a time
+            for f, t in zip(per.tolist(), [*per[1:].tolist(), len(ends)], strict=True):
+                n = size[f:t]
+                at = np.repeat(begin[f:t] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                _compare(found, xs[:, lo:hi], xi[lo:hi], ys[:, at], yi[at], radius)
+    return found.settle()
+
+
+def _crowd(found: _Forest, lanes: np.ndarray, rows: np.ndarray, radius: int) -> None:
+    code = np.ascontiguousarray(lanes.T)
+    order = np.lexsort(gray_rank(code).T[::-1])
+    i, j = join_codes(np.zeros(len(code), np.int64), code[order], radius)
+    found.add(rows[order[i]], rows[order[j]])
 
 
 def join_codes(bucket: np.ndarray, code: np.ndarray, radius: int = RADIUS, fanout: int = FANOUT, most: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
@@ -223,49 +368,38 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_pairs(codes: DataFrame, n: int, radius: int = RADIUS) -> DataFrame:
-    """Edges (a, b), a < b, that connect fingerprints within ``radius``.  codes: (id, rank), n rows."""
-    b, tables = plan(n)
-    rng = np.random.default_rng(20240229)
-    chosen = [rng.choice(BITS, b, replace=False) for _ in range(tables)]
+    """Edges (a, b), a < b, that connect what the pairs of fingerprints within ``radius`` connect: all of these pairs, for any n.
+    codes: (id, rank), about n rows; ids don't repeat."""
+    groups, parts = plan(n)
+    couples = [(g, h) for g in range(groups) for h in range(g, groups)]
+    meets = [np.array([k for k, c in enumerate(couples) if g in c]) for g in range(groups)]
+    tasks = len(couples) * parts
+
+    def group_of(ids: np.ndarray) -> np.ndarray:
+        return (mix(ids.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                if not part.num_rows:
-                    continue
-                bits = np.unpackbits(gray_code(_from_bytes(part.column("rank"))).astype(">u8").view(np.uint8).reshape(part.num_rows, -1), axis=1)
-                weight = np.int64(1) << np.arange(b, dtype=np.int64)
-                for t, pick in enumerate(chosen):
-                    key = (bits[:, pick].astype(np.int64) @ weight) * tables + t
-                    yield pa.RecordBatch.from_arrays([pa.array(key), part.column("id"), part.column("rank")], ["key", "id", "rank"])
+            group = group_of(batch.column("id").to_numpy())
+            for g in np.unique(group).tolist():
+                rows = batch.filter(pa.array(group == g))
+                for task in (meets[g][:, None] * parts + np.arange(parts)).ravel().tolist():
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows.num_rows, task, np.int32)), rows.column("id"), rows.column("rank")], ["task", "id", "rank"])
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        rows = 0
-
-        def solve(key: np.ndarray, ids: np.ndarray, rank: np.ndarray) -> pa.RecordBatch:
-            i, j = join_codes(key, gray_code(rank), radius)
-            x, y = ids[i], ids[j]
-            lo, hi = forest(np.minimum(x, y), np.maximum(x, y))
-            return pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append((batch.column("key").to_numpy(), batch.column("id").to_numpy(), _from_bytes(batch.column("rank"))))
-            rows += batch.num_rows
-            if rows >= 1 << 16:  # whole buckets only: the last one may go on
-                key, ids, rank = (np.concatenate(x) for x in zip(*held, strict=True))
-                cut = int(np.searchsorted(key, key[-1]))
-                if cut:
-                    yield solve(key[:cut], ids[:cut], rank[:cut])
-                held, rows = [(key[cut:], ids[cut:], rank[cut:])], len(key) - cut
-        if rows:
-            yield solve(*(np.concatenate(x) for x in zip(*held, strict=True)))
-
-    keyed = codes.mapInArrow(spread, "key long, id long, rank binary")
-    return keyed.repartition("key").sortWithinPartitions("key", "rank").mapInArrow(search, "a long, b long").distinct()
+        held = [(b.column("id").to_numpy(), _from_bytes(b.column("rank")), b.column("task")[0].as_py()) for b in batches if b.num_rows]
+        if not held:
+            return
+        (g, h), part = couples[held[0][2] // parts], held[0][2] % parts
+        ids, rank = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+        held.clear()
+        root = near_rows(gray_code(rank), None if g == h else group_of(ids) == h, radius, part, parts)
+        on = np.flatnonzero(root != np.arange(len(ids)))
+        lo, hi = ids[root[on]], ids[on]
+        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(lo, hi)), pa.array(np.maximum(lo, hi))], ["a", "b"])
+
+    keyed = codes.mapInArrow(spread, "task int, id long, rank binary")
+    return keyed.repartitionById(tasks, "task").mapInArrow(search, "a long, b long").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:

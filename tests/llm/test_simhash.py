@@ -68,11 +68,54 @@ def test_odd_rows(spark, odd, none):
     assert s.stage(spark, none, "").count() == 0
 
 
-@pytest.mark.parametrize("n", [2, 10_000, 210_000, 15_000_000, 1_000_000_000])
-def test_tables_are_sized_for_the_radius(n):
-    b, tables = s.plan(n)
-    meet = math.comb(s.BITS - s.RADIUS, b) / math.comb(s.BITS, b)
-    assert 1 - (1 - meet) ** tables >= s.RECALL
+@pytest.mark.parametrize("n", [2, 10_000, 210_000, 1 << 20, 15_000_000, 1_000_000_000])
+@pytest.mark.parametrize("radius", [3, 20, s.RADIUS, 70])
+def test_no_pair_at_the_radius_passes_all_chunks(n, radius):
+    """Differences that are above every chunk's threshold are more than the radius, and chunks take each bit at most once."""
+    cut = s.chunks(n, n * n // 2, radius)
+    assert not cut or sum(most + 1 for _, _, most in cut) > radius
+    assert all(a + w <= b for (a, w, _), (b, _, _) in zip(cut, cut[1:], strict=False))
+    assert all(a >= 0 and a + w <= s.BITS and 0 <= most < w for a, w, most in cut)
+
+
+def close_pairs(pairs, distance, seed):
+    rng = np.random.default_rng(seed)
+    left = rng.integers(0, 2, (pairs, s.BITS), dtype=np.uint8)
+    right = left.copy()
+    for row, d in zip(right, distance, strict=True):
+        row[rng.choice(s.BITS, d, replace=False)] ^= 1
+    return np.packbits(np.concatenate([left, right]), axis=1).view(">u8").astype(np.uint64)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_every_pair_at_the_radius_is_found(spark, seed, monkeypatch):
+    """Sampled tables with a recall of 0.98 left some of these out."""
+    pairs = 1500
+    distance = np.tile([44, 45, 46, 47], pairs // 4)
+    code = close_pairs(pairs, distance, seed)
+    rank = s._to_bytes(s.gray_rank(code)).to_pylist()
+    codes = spark.createDataFrame([(i, bytearray(r)) for i, r in enumerate(rank)], "id long, rank binary")
+    want = {(i, i + pairs) for i in range(pairs) if distance[i] <= s.RADIUS}
+    monkeypatch.setattr(s, "BLOCK", 1000 if seed % 2 else 1 << 20)
+    monkeypatch.setattr(s, "TASKS", 6)
+    assert {(r.a, r.b) for r in s.near_pairs(codes, len(code)).collect()} == want
+
+
+@pytest.mark.parametrize("crowd", [20, 1 << 11])
+@pytest.mark.parametrize("node_s", [1e-9, 1.0])
+def test_chunks_and_parts_find_what_all_pairs_find(monkeypatch, node_s, crowd):
+    monkeypatch.setattr(s, "NODE_S", node_s)  # cheap nodes: chunks; dear ones: all pairs
+    monkeypatch.setattr(s, "PAIR_S", 1e-6 if node_s < 1 else 6e-9)
+    monkeypatch.setattr(s, "CROWD", crowd)
+    code = close_pairs(600, np.arange(600) % 60, 5)
+    code = np.concatenate([code, code[:1] ^ (np.uint64(1) << np.arange(60, dtype=np.uint64))[:, None]])
+    assert bool(s.chunks(len(code), len(code) ** 2)) == (node_s < 1)
+    pairs = near(code, s.RADIUS)
+    for right in (None, np.random.default_rng(1).random(len(code)) < 0.4):
+        want = clusters([(i, j) for i, j in pairs if right is None or right[i] != right[j]], len(code))
+        roots = [s.near_rows(code, right, s.RADIUS, p, 3) for p in range(3)]
+        assert clusters([(i, int(r)) for root in roots for i, r in enumerate(root)], len(code)) == want
+        assert s.near_rows(code, right).tolist() == want
 
 
 def test_recall_by_distance_with_the_tables_of_15_million(spark):
