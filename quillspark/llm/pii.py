@@ -258,9 +258,13 @@ class Model:
         # what an excursion from outside gains at most: at its entry, each inner step and its exit
         self.into, self.inner, self.out = t[0, 1:].max() - t[0, 0], t[1:, 1:].max() - t[0, 0], t[1:, 0].max() - t[0, 0]
 
-    def forward(self, x: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """Hidden states (t + 1, 2, H, n) before each step of the symbols x (2, t, n), each direction in its own order."""
+    def forward(self, x: np.ndarray, keep: list | None = None, size: np.ndarray | None = None) -> np.ndarray:
+        """Hidden states (t + 1, 2, H, n) before each step of the symbols x (2, t, n), each direction in its own order.
+
+        With sizes, columns behind the last one that is longer than a step aren't computed at it; their states are 0.
+        """
         _, t, n = x.shape
+        live = [n] * t if size is None else (n - np.searchsorted(np.maximum.accumulate(size[::-1]), np.arange(t), side="right")).tolist()
         w = self.p["w"]
         kind = w.dtype
         h = HIDDEN
@@ -269,27 +273,32 @@ class Model:
         for k in range(2):
             b[:t, k, h:] = np.take(self.look, x[k], axis=1).transpose(1, 0, 2)
         c = np.zeros((2, h, n), kind)
-        z, tmp = np.empty((2, 4 * h, n), kind), np.empty((2, h, n), kind)
+        z = np.empty((2, 4 * h, n), kind)
         zero, one = kind.type(0), kind.type(1)
+        m = -1
         for i in range(t):
-            np.matmul(w, b[i], out=z)
+            if live[i] != m:
+                m = live[i]
+                part, state, tmp = z[:, :, :m], c[:, :, :m], np.empty((2, h, m), kind)
+                gates, new = part[:, : 3 * h], part[:, 3 * h :]
+                b[i + 1 :, :, :h, m:] = 0
+            np.matmul(w, b[i, :, :, :m], out=part)
             if keep is not None:
                 keep.append((z.copy(), c.copy()))
-            gates, new = z[:, : 3 * h], z[:, 3 * h :]
             np.clip(gates, zero, one, out=gates)
             np.clip(new, -one, one, out=new)
-            c *= z[:, h : 2 * h]
-            np.multiply(z[:, :h], new, out=tmp)
-            c += tmp
-            np.clip(c, -one, one, out=tmp)
-            np.multiply(tmp, z[:, 2 * h : 3 * h], out=b[i + 1, :, :h])
+            state *= part[:, h : 2 * h]
+            np.multiply(part[:, :h], new, out=tmp)
+            state += tmp
+            np.clip(state, -one, one, out=tmp)
+            np.multiply(tmp, part[:, 2 * h : 3 * h], out=b[i + 1, :, :h, :m])
         return b
 
     def emissions(self, x: np.ndarray, size: np.ndarray) -> np.ndarray:
         """(t, labels, n) of symbols x (t, n), of which the first size[j] of column j count."""
         t, n = x.shape
         back = size[None, :] - 1 - np.arange(t)[:, None]
-        b = self.forward(np.stack([x, np.take_along_axis(x, np.maximum(back, 0), axis=0)]))
+        b = self.forward(np.stack([x, np.take_along_axis(x, np.maximum(back, 0), axis=0)]), size=size)
         e = np.matmul(self.p["wo"][0], b[1:, 0, :HIDDEN])
         other = np.matmul(self.p["wo"][1], b[1:, 1, :HIDDEN])
         for n in np.unique(size).tolist():

@@ -64,6 +64,23 @@ def test_proven_outside_equals_viterbi_of_every_window(model, docs):
     assert (model.decode(e, n) == whole).all()
 
 
+def test_columns_that_ended_arent_computed(monkeypatch):
+    """The states of columns of any sizes are those of each column alone, and steps behind a column's end cost nothing."""
+    rng = np.random.default_rng(4)
+    r = lambda *z: rng.normal(size=z).astype(np.float32)
+    model = pii.Model({"embed": r(pii.VOCAB, pii.EMBED), "w": r(2, 4 * pii.HIDDEN, pii.HIDDEN + pii.EMBED) / 5, "wo": r(2, pii.LABELS, pii.HIDDEN), "bo": r(pii.LABELS), "trans": r(pii.LABELS, pii.LABELS)})
+    for size in ([40, 40, 31, 9, 9, 1], [3, 40, 8, 25, 1]):
+        size = np.array(size)
+        x = rng.integers(0, pii.VOCAB, (40, len(size))).astype(np.uint8)
+        e = model.emissions(x, size)
+        for j, n in enumerate(size.tolist()):
+            alone = model.emissions(x[:n, j : j + 1], np.array([n]))
+            np.testing.assert_allclose(e[:n, :, j], alone[:, :, 0], rtol=1e-4, atol=1e-4)
+    size = np.array([40, 12, 2])
+    b = model.forward(rng.integers(0, pii.VOCAB, (2, 40, 3)), size=size)
+    assert all(not b[n + 1 :, :, : pii.HIDDEN, j].any() for j, n in enumerate(size.tolist()))
+
+
 def test_windows_equal_whole_texts(model, docs, monkeypatch):
     """Cut in windows of the grid or decoded as one window, texts have the same labels."""
     rows = [r.text for r in docs.select("text").orderBy("doc_id").collect() if r.text and len(r.text) < 20_000]
