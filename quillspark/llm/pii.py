@@ -48,7 +48,7 @@ HIDDEN, EMBED = 20, 8
 RARITY = 3.0
 VOCAB = 100
 #: Windows that go through the LSTMs side by side.
-LANES = 512
+LANES = 256
 _ASCII = {c: i + 4 for i, c in enumerate(map(chr, range(32, 127)))}
 
 

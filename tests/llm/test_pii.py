@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -81,6 +82,18 @@ def test_columns_that_ended_arent_computed(monkeypatch):
     assert all(not b[n + 1 :, :, : pii.HIDDEN, j].any() for j, n in enumerate(size.tolist()))
 
 
+def test_memory_of_a_step():
+    """A megabyte of text took 149 MB of arrays, in each of an executor's workers."""
+    p = {"embed": (pii.VOCAB, pii.EMBED), "w": (2, 4 * pii.HIDDEN, pii.HIDDEN + pii.EMBED), "wo": (2, pii.LABELS, pii.HIDDEN), "bo": (pii.LABELS,), "trans": (pii.LABELS, pii.LABELS)}
+    texts = ["lorem ipsum dolor sit amet " * 390] * 100
+    tracemalloc.start()
+    try:
+        pii.spans(texts, pii.Model({n: np.zeros(z, np.float32) for n, z in p.items()}))
+        assert tracemalloc.get_traced_memory()[1] < 110e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_windows_equal_whole_texts(model, docs, monkeypatch):
     """Cut in windows of the grid or decoded as one window, texts have the same labels."""
     rows = [r.text for r in docs.select("text").orderBy("doc_id").collect() if r.text and len(r.text) < 20_000]
