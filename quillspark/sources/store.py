@@ -1,8 +1,8 @@
 """Durable indexes: generations of Parquet tables, a mutation log, and a pointer that is swapped.
 
-A generation is a folder with the tables of an index; postings are written sorted by term within ranges of
-(field, term), so a term's row groups are found by their statistics, and the dictionary and the fields' statistics
-are tables of their own, so a query counts nothing again.  The pointer (one small JSON file, replaced at once) names
+A generation is a folder with the tables of an index; postings are written sorted by term, within runs of documents or (by a
+commit) within ranges of (field, term), so a term's pages are found by their statistics, and the dictionary and the fields'
+statistics are tables of their own, so a query counts nothing again.  The pointer (one small JSON file, replaced at once) names
 the committed generation and the last mutation in it, so replaying the log twice does nothing twice.  A log file holds
 one batch of mutations, a JSON line (seq, op, doc, field, term, crc) each, and its name is the first number in it, so
 every line's number is known from its place; replay stops before the first line that isn't what it should be.
@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.operators.index import DELETES, Index, IndexSpec, analyzed, build_index, postings_of
+from quillspark.operators.inverted import inverted, invertible
 from quillspark.sources.folders import Folder, scratch
 
 RECORD = "seq long, op string, doc string, field string, term string, crc long"
@@ -36,26 +37,39 @@ def write_segment(index: Index, path: str, partitions: int | None = None) -> Non
 
 
 def build_segment(df: DataFrame, spec: IndexSpec, path: str, partitions: int | None = None) -> Index:
-    """Index rows straight into a segment: texts are analyzed once, and all tables come from what that wrote."""
+    """Index rows straight into a segment: texts are analyzed once, where they are, and all tables come from what that wrote.
+
+    Rows that share a ``doc_id`` share its postings, so these few are brought together; so are all rows where the analyzer is
+    a column expression or a field has several values.
+    """
     spark = df.sparkSession
-    analyzed(df, spec).write.parquet(f"{path}/analyzed")
-    rows = spark.read.parquet(f"{path}/analyzed")
-    _postings(postings_of(rows), path, partitions)
+    key = F.col("doc_id").cast("long")
+    fast = invertible(df, spec)
+    shared = df.groupBy(key.alias("shared")).agg(F.count("*").alias("n")).where("n > 1").select("shared") if fast else None
+    some = not fast or not shared.isEmpty()
+    if fast:
+        inverted(df.join(shared, key.eqNullSafe(F.col("shared")), "left_anti") if some else df, spec).write.parquet(f"{path}/postings")
+    if some:
+        analyzed(df.join(shared, key.eqNullSafe(F.col("shared")), "left_semi") if fast else df, spec).write.parquet(f"{path}/analyzed")
+        rows = spark.read.parquet(f"{path}/analyzed")
+        _postings(postings_of(rows), path, partitions)
+        rows.select("doc_id", "field", "len").write.parquet(f"{path}/lengths")
+        Folder(spark, path).remove("analyzed")
+    if fast:
+        spark.read.parquet(f"{path}/postings").where("tf = 0").select("doc_id", "field", "len").write.mode("append").parquet(f"{path}/lengths")
     df.write.parquet(f"{path}/docs")
-    rows.select("doc_id", "field", "len").write.parquet(f"{path}/lengths")
-    _statistics(Index(df, spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/lengths")), path)
-    Folder(spark, path).remove("analyzed")
+    _statistics(Index(df, spark.read.parquet(f"{path}/postings").where("tf > 0"), spark.read.parquet(f"{path}/lengths")), path)
     return read_segment(spark, path, spec)
 
 
 def _postings(rows: DataFrame, path: str, partitions: int | None) -> None:
     ranged = rows.repartitionByRange(partitions, "field", "term", "doc_id") if partitions else rows.repartitionByRange("field", "term", "doc_id")
-    ranged.sortWithinPartitions("field", "term", "doc_id").write.parquet(f"{path}/postings")
+    ranged.sortWithinPartitions("field", "term", "doc_id").write.mode("append").parquet(f"{path}/postings")
 
 
 def _statistics(index: Index, path: str) -> None:
     spark = index.docs.sparkSession
-    spark.read.parquet(f"{path}/postings").groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf")).sortWithinPartitions("field", "term").write.parquet(f"{path}/dictionary")
+    spark.read.parquet(f"{path}/postings").where("tf > 0").groupBy("field", "term").agg(F.count("*").alias("df"), F.sum("tf").alias("ttf")).sortWithinPartitions("field", "term").write.parquet(f"{path}/dictionary")
     index.measured_fields().coalesce(1).write.parquet(f"{path}/stats")
     dead = index.deletes if index.deletes is not None else spark.createDataFrame([], DELETES)
     dead.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().write.parquet(f"{path}/deletes")
@@ -68,7 +82,7 @@ def read_segment(spark: SparkSession, path: str, spec: IndexSpec | None = None,
     if verify and (bad := damaged(spark, path).limit(5).collect()):
         raise OSError(f"damaged or missing files of {path}: {[r.file for r in bad]}")
     t = {n: spark.read.parquet(f"{path}/{n}") for n in _TABLES}
-    return Index(t["docs"], t["postings"], t["lengths"], t["deletes"], spec, t["dictionary"], t["stats"])
+    return Index(t["docs"], t["postings"].where("tf > 0"), t["lengths"], t["deletes"], spec, t["dictionary"], t["stats"])
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:
