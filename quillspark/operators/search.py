@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quillspark.functions.similarity import BM25, Similarity
+from quillspark.operators import batches
 from quillspark.operators.index import Index
 from quillspark.plans.compiler import compile_query, term_weights
 from quillspark.plans.parser import QueryParser
@@ -46,12 +51,27 @@ class Searcher:
     def batch(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """The k best for every query of (query_id, field, term), a row for each term: terms are optional, and repeated ones count again.
 
-        The queries' terms get their weights first, so postings meet them in one join and are aggregated once.
+        The queries' terms get their weights first.  The postings that any query wants are scored once and brought together by
+        document; each chunk of documents gives the best of every query.
         """
-        asked = queries.groupBy("query_id", "field", "term").agg(F.count("*").alias("times"))
-        scored = self._asked(asked, positions=False)
-        sums = scored.groupBy("query_id", "doc_id").agg(F.sum(F.col("score") * F.col("times")).alias("score"))
-        return _best(sums, k)
+        counted = queries.groupBy("query_id", "field", "term").agg(F.count("*").alias("times")).where("field IS NOT NULL AND term IS NOT NULL")
+        few = counted.limit(batches.MOST + 1).toArrow()
+        if not few.num_rows:
+            return _best(queries.sparkSession.createDataFrame([], StructType([queries.schema["query_id"], *StructType.fromDDL("doc_id long, score double").fields])), k)
+        if few.num_rows > batches.MOST:
+            scored = self._asked(counted, positions=False)
+            return _best(scored.groupBy("query_id", "doc_id").agg(F.sum(F.col("score") * F.col("times")).alias("score")), k)
+        asked = batches.Asked.of(few)
+        scored = self.slotted(asked).withColumn("score", self.similarity.score(F.col("tf"), F.col("idf"), F.col("len"), F.col("avg_len")).cast("double"))
+        return _best(batches.best(batches.by_document(scored.select("doc_id", "slot", "score")), asked, max(1, k), _summed), k)
+
+    def slotted(self, asked: batches.Asked) -> DataFrame:
+        """Postings of live documents that any query wants: (doc_id, slot, tf, len, idf, avg_len)."""
+        ix = self.index
+        slots = F.broadcast(asked.slots(ix.postings.sparkSession))
+        weights = term_weights(ix, ix.dictionary().select("field", "term", "df").join(slots, ["field", "term"], "left_semi"), self.similarity)
+        known = slots.join(weights, ["field", "term"])
+        return ix.live(ix.postings.drop("positions")).join(F.broadcast(known), ["field", "term"]).select("doc_id", "slot", "tf", "len", "idf", "avg_len")
 
     def batch_pairs(self, queries: DataFrame, k: int = 10) -> DataFrame:
         """The k best for every query of (query_id, kind, field, a, b): kind 'term' is a alone, 'and' both, 'phrase' b right behind a.
@@ -78,6 +98,11 @@ class Searcher:
         return ix.live(rows).join(weighted, ["field", "term"]).withColumn("score", self.similarity.score(F.col("tf"), F.col("idf"), F.col("len"), F.col("avg_len")))
 
 
+def _summed(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[batches.Chunk, np.ndarray, None]]:
+    for chunk in batches.chunks(rows):
+        yield chunk, chunk.values["score"], None
+
+
 def _best(scores: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", DIGITS).desc(), "doc_id"))
     return scores.withColumn("rank", rank).where(F.col("rank") <= max(1, k)).select("query_id", "rank", "doc_id", "score")
