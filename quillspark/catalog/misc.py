@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from quillspark.catalog.search import _TOK, SPEC, corpus
 from quillspark.functions import optimize as o
 from quillspark.functions import text_json, varint, vectors
 from quillspark.functions.analysis import Analyzer
-from quillspark.functions.similarity import BM25
+from quillspark.operators import batches
 from quillspark.operators.documents import prepare
 from quillspark.operators.index import FieldType, IndexSpec
 from quillspark.operators.search import Searcher
@@ -296,36 +297,77 @@ def coordinate_ascent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(round(float(r.point[0]), 4), round(float(r.point[1]), 4))], "x double, y double")
 
 
-def ndcg(scored: DataFrame, k: int = 10) -> float:
-    """Mean NDCG of (query_id, doc_id, score, gain) over the queries, 0 for one without gain."""
-    w = Window.partitionBy("query_id")
-    at = lambda order: F.row_number().over(w.orderBy(*order))
-    got = lambda rank: F.sum(F.when(F.col(rank) <= k, F.col("gain") / F.log2(F.col(rank) + 1)))
-    ranked = scored.withColumn("r", at([F.round("score", 9).desc(), "doc_id"])).withColumn("best", at([F.desc("gain"), "doc_id"]))
-    return ranked.groupBy("query_id").agg((got("r") / got("best")).alias("ndcg")).agg(F.avg(F.coalesce("ndcg", F.lit(0.0)))).first()[0] or 0.0
+def ndcg(scored: DataFrame, labels: DataFrame, ideal: DataFrame, k: int = 10) -> float:
+    """Mean NDCG of (query_id, doc_id, score) with the labels' (doc_id, gain) over the queries of ``ideal`` (query_id, best), 0 for one without gain."""
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "doc_id"))
+    top = scored.withColumn("r", rank).where(F.col("r") <= k)  # k for each query
+    known = labels.join(F.broadcast(top), "doc_id").dropDuplicates(["query_id", "r"])
+    got = known.groupBy("query_id").agg(F.sum(F.col("gain") / F.log2(F.col("r") + 1)).alias("got"))
+    each = ideal.join(got, ideal["query_id"].eqNullSafe(got["query_id"]), "left").select(F.try_divide("got", "best").alias("ndcg"))
+    return each.agg(F.avg(F.coalesce("ndcg", F.lit(0.0)))).first()[0] or 0.0
+
+
+_PACKED = {"doc": np.int64, "gain": np.float64, "slot": np.int64, "owner": np.int64, "tf": np.float64, "len": np.float64, "idf": np.float64, "avg_len": np.float64}
+
+
+def _pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each chunk of documents, arrays as bytes; a document's gain is that of its first posting."""
+    for c in batches.chunks(rows):
+        gain = np.empty(len(c.doc))
+        gain[c.owner[::-1]] = c.values["gain"][::-1]
+        parts = {"doc": c.doc, "gain": gain, "slot": c.slot, "owner": c.owner} | {n: c.values[n] for n in ("tf", "len", "idf", "avg_len")}
+        yield pa.RecordBatch.from_arrays([pa.array([parts[n].astype(t).tobytes()], pa.binary()) for n, t in _PACKED.items()], list(_PACKED))
+
+
+def _unpacked(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple[batches.Chunk, np.ndarray]]:
+    for b in rows:
+        for i in range(b.num_rows):
+            p = {n: np.frombuffer(b.column(n)[i].as_buffer(), t) for n, t in _PACKED.items()}
+            yield batches.Chunk(p["doc"], p["slot"], p["owner"], p), p["gain"]
 
 
 @register("tune_bm25")
 def tune_bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(k1, b) by coordinate ascent on NDCG over all benchmark texts as queries, the gain being a document's quality label.
 
-    The postings that the queries meet are joined once and written; a trial of (k1, b) aggregates them.
+    The labelled documents' postings that the queries ask for are brought together once, in chunks of documents, and written; a
+    trial of (k1, b) scores them where they are, and only the best of each chunk are ranked.  What the labels allow at best
+    doesn't depend on the trial.
     """
-    ix = corpus(spark, sf_dir)
-    asked = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("body").alias("field"), F.explode(F.array_distinct(Analyzer().terms(F.col("text")))).alias("term"))
+    ix, k = corpus(spark, sf_dir), 10
+    terms = read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.lit("body").alias("field"), F.explode(F.array_distinct(Analyzer().terms(F.col("text")))).alias("term"))
+    asked = batches.Asked.of(terms.groupBy("query_id", "field", "term").agg(F.count("*").alias("times")).toArrow())
     labels = read(spark, sf_dir, "labels").select("doc_id", F.col("quality").cast("double").alias("gain"))
     path = scratch(spark, "tuning")
-    Searcher(ix)._asked(asked, positions=False).join(labels, "doc_id").select("query_id", "doc_id", "tf", "len", "idf", "avg_len", "gain").write.parquet(path)
+    rows = Searcher(ix).slotted(asked).join(labels, "doc_id").select("doc_id", "slot", "tf", "len", "idf", "avg_len", "gain")
+    batches.by_document(rows).mapInArrow(_pack, ", ".join(f"{n} binary" for n in _PACKED)).write.parquet(path)
     prepared = spark.read.parquet(path)
     seen: dict[tuple[float, float], float] = {}
 
+    def gains(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for chunk, gain in _unpacked(rows):
+            yield chunk, None, np.nan_to_num(gain, nan=-np.inf)
+
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))
+    most = batches.best(prepared, asked, k, gains).withColumn("r", place)
+    won = F.sum(F.when((F.col("r") <= k) & (F.col("score") > float("-inf")), F.col("score") / F.log2(F.col("r") + 1)))
+    ideal = spark.createDataFrame(most.groupBy("query_id").agg(won.alias("best")).toArrow())  # a row for each query
+
     def value(x: np.ndarray) -> float:
         k1, b = float(x[0]), float(x[1])
         if k1 < 0 or not 0 <= b <= 1:
             return float("-inf")
+
+        def scored(rows: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+            for c, _ in _unpacked(rows):
+                v = c.values
+                known = v["avg_len"] > 0
+                norm = np.where(known, 1 - b + b * v["len"] / np.where(known, v["avg_len"], 1.0), 1.0)
+                yield c, v["idf"] * v["tf"] * (k1 + 1) / (v["tf"] + k1 * norm), None
+
         if (k1, b) not in seen:
-            s = BM25(k1, b).score(F.col("tf"), F.col("idf"), F.col("len"), F.col("avg_len"))
-            seen[k1, b] = ndcg(prepared.groupBy("query_id", "doc_id").agg(F.sum(s).alias("score"), F.first("gain").alias("gain")))
+            top = batches.best(prepared, asked, k, scored)
+            seen[k1, b] = ndcg(top, labels, ideal, k)
         return seen[k1, b]
 
     r = o.coordinate_ascent(value, [1.2, 0.75], sweeps=2, tolerance=0.1, step=0.4)

@@ -1,5 +1,6 @@
 """Batches of queries by chunks of documents, against joining postings with queries."""
 
+import math
 from collections import defaultdict
 
 import pytest
@@ -60,3 +61,24 @@ def test_rows_that_leave_a_chunk_are_bounded(spark, searched):
             yield c, c.values["score"], None
 
     assert sorted(r.doc_id for r in batches.best(rows, one, 2, of).collect()) == [0, 1]
+
+
+def test_trials_of_tuning_move_no_pairs(spark, sf, monkeypatch):
+    """Each trial grouped all pairs of query and labelled document before; the result is that of grouping them."""
+    from quillspark.catalog import misc, search
+    from quillspark.functions.analysis import Analyzer
+
+    ranked, best = [], batches.best
+    monkeypatch.setattr(batches, "best", lambda rows, *more: ranked.append(rows) or best(rows, *more))
+    ix, labels = search.corpus(spark, sf), spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", F.col("quality").cast("double").alias("gain"))
+    got = misc.tune_bm25(spark, sf).first()
+    terms = spark.read.parquet(f"{sf}/benchmark.parquet").select(F.col("item_id").alias("query_id"), F.lit("body").alias("field"), F.explode(F.array_distinct(Analyzer().terms(F.col("text")))).alias("term"))
+    pairs = Searcher(ix, BM25(got.k1, got.b))._asked(terms, positions=False).join(labels, "doc_id").groupBy("query_id", "doc_id").agg(F.sum("score").alias("s"), F.first("gain").alias("g")).collect()
+    by = defaultdict(list)
+    for r in pairs:
+        by[r.query_id].append(r)
+    gain = lambda rows: sum(r.g / math.log2(i + 2) for i, r in enumerate(rows[:10]))
+    each = [(gain(sorted(rows, key=lambda r: (-round(r.s, 9), r.doc_id))), gain(sorted(rows, key=lambda r: -r.g))) for rows in by.values()]
+    assert got.ndcg == pytest.approx(sum(a / b if b else 0.0 for a, b in each) / len(each), abs=1e-9)
+    assert len(ranked) == 1 + got.evaluations  # what the labels allow, and each trial
+    assert all("Exchange" not in x._jdf.queryExecution().executedPlan().toString() for x in ranked)
