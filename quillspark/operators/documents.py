@@ -6,8 +6,10 @@ page in memory; what relates rows (cascade, inheritance, text, histograms) are D
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
+from functools import lru_cache
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -19,7 +21,8 @@ from pyspark.sql.types import StructType
 from quillspark.functions import css, html, layout, script
 
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-PAGES_AT_ONCE = 256
+#: Pages whose rows go together, unless they are many rows; new objects between two looks for cycles, of which trees consist.
+PAGES_AT_ONCE, ROWS_AT_ONCE, OBJECTS = 256, 1 << 15, 200_000
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -38,14 +41,29 @@ def per_row(df: DataFrame, key: str, columns: list[str], f: Callable[..., Iterab
     out = StructType([df.schema[key], *made.fields])
     arrow = to_arrow_schema(out)
 
+    def made(keys: list, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip((keys, *zip(*rows, strict=True)), arrow, strict=True)], schema=arrow)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, PAGES_AT_ONCE):
-                b = batch.slice(at, PAGES_AT_ONCE)
-                keys, *values = (b.column(i).to_pylist() for i in range(b.num_columns))
-                rows = [(k, *r) for k, *v in zip(keys, *values, strict=True) if v[0] is not None for r in f(*v)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+        before = gc.get_threshold()
+        gc.set_threshold(OBJECTS, *before[1:])
+        try:
+            for batch in batches:
+                for at in range(0, batch.num_rows, PAGES_AT_ONCE):
+                    b = batch.slice(at, PAGES_AT_ONCE)
+                    keys, rows = [], []
+                    for k, *v in zip(*(b.column(i).to_pylist() for i in range(b.num_columns)), strict=True):
+                        if v[0] is None:
+                            continue
+                        rows.extend(f(*v))
+                        keys.extend([k] * (len(rows) - len(keys)))
+                        if len(rows) >= ROWS_AT_ONCE:
+                            yield made(keys, rows)
+                            keys, rows = [], []
+                    if rows:
+                        yield made(keys, rows)
+        finally:
+            gc.set_threshold(*before)
 
     return df.select(key, *columns).mapInArrow(run, out)
 
@@ -102,6 +120,17 @@ def text_content(nodes: DataFrame, of: DataFrame, key: str = "page_id") -> DataF
     return joined.groupBy(key, "node_id").agg(F.array_join(F.transform(parts, lambda x: x["data"]), "").alias("text"))
 
 
+def element_texts(pages: DataFrame, tag: str, key: str = "page_id", column: str = "html") -> DataFrame:
+    """(key, node_id, text) of the elements with the tag: ``text_content`` where the page is."""
+
+    def rows(text: str) -> Iterator[tuple]:
+        for i, n in enumerate(html.parse(text).walk()):
+            if n.kind == "element" and n.tag == tag:
+                yield i, n.text()
+
+    return per_row(pages, key, [column], rows, "node_id int, text string")
+
+
 def by_id(nodes: DataFrame, value: str, key: str = "page_id") -> DataFrame:
     """(key, node_id) of each page's first element with the id."""
     return nodes.where((F.col("kind") == "element") & (F.col("attrs")["id"] == value)).groupBy(key).agg(F.min("node_id").alias("node_id"))
@@ -123,16 +152,29 @@ def serialize(pages: DataFrame, key: str = "page_id", column: str = "html") -> D
 # ---- CSS
 
 
+RULES = "rule int, selector string, specificity struct<ids:int,classes:int,types:int>, decl int, property string, value string"
+
+
+def _rule_rows(sheet: str) -> Iterator[tuple]:
+    for i, rule in enumerate(css.parse(sheet)):
+        for s in rule.selectors:
+            for j, (p, v) in enumerate(rule.declarations):
+                yield i, str(s), s.specificity(), j, p, v
+
+
 def css_rules(sheets: DataFrame, key: str, column: str) -> DataFrame:
     """A row for each selector and declaration."""
+    return per_row(sheets, key, [column], _rule_rows, RULES)
+
+
+def page_rules(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
+    """The rules of each page's style elements, where the page is."""
 
     def rows(text: str) -> Iterator[tuple]:
-        for i, rule in enumerate(css.parse(text)):
-            for s in rule.selectors:
-                for j, (p, v) in enumerate(rule.declarations):
-                    yield i, str(s), s.specificity(), j, p, v
+        for n in html.parse(text).by_tag("style"):
+            yield from _rule_rows(n.text())
 
-    return per_row(sheets, key, [column], rows, "rule int, selector string, specificity struct<ids:int,classes:int,types:int>, decl int, property string, value string")
+    return per_row(pages, key, [column], rows, RULES)
 
 
 def css_select(pages: DataFrame, selector: str, key: str = "page_id", column: str = "html") -> DataFrame:
@@ -182,6 +224,16 @@ def computed(nodes: DataFrame, specified: DataFrame, key: str = "page_id") -> Da
     return reached.select(key, "node_id", "property", "value").unionByName(own)
 
 
+def computed_values(pages: DataFrame, key: str = "page_id", column: str = "html") -> DataFrame:
+    """(key, node_id, property, value): ``computed`` of all that reaches a page's nodes, where the page is."""
+
+    def rows(text: str) -> Iterator[tuple]:
+        document = html.parse(text)
+        return css.computed(document, css.author_sheets(document))
+
+    return per_row(pages, key, [column], rows, "node_id int, property string, value string")
+
+
 def length_px(raw: Column, em: Column | float = 16.0) -> Column:
     """Pixels of a CSS length; percentages and bare numbers keep their amount, anything else is null."""
     s = F.trim(raw)
@@ -251,10 +303,15 @@ def layout_boxes(pages: DataFrame, width: float = 800.0, scripts: bool = False,
     return per_row(pages, key, [column], rows, BOXES)
 
 
+@lru_cache(maxsize=1 << 12)
+def _hexed(c: tuple[int, int, int, int]) -> str:
+    return "#%02x%02x%02x%02x" % c
+
+
 def display_lists(pages: DataFrame, width: float = 800.0, scripts: bool = False, key: str = "page_id", column: str = "html") -> DataFrame:
     def rows(text: str) -> Iterator[tuple]:
         for i, (kind, *geometry, word, size, bold, c) in enumerate(layout.display_list(_laid_out(_page(text, scripts), width))):
-            yield i, kind, *geometry, word, size, bold, "#%02x%02x%02x%02x" % c
+            yield i, kind, *geometry, word, size, bold, _hexed(c)
 
     return per_row(pages, key, [column], rows, COMMANDS)
 
@@ -287,12 +344,11 @@ def load_pages(pages: DataFrame, resources: DataFrame, key: str = "page_id", scr
     """
 
     def asked(text: str, url: str | None) -> Iterator[tuple]:
-        document = html.parse(text)
-        base = _base(document, url)
-        for e in document.by_tag("*"):
-            ref = e.attrs.get({"link": "href", "script": "src"}.get(e.tag, ""), "").strip()
-            if ref:
-                yield (urljoin(base, ref),)
+        """Every start tag makes an element, so no tree is needed to find those that refer to something."""
+        tags = [t for t in html.tokenize(text) if t.kind == "start" and t.name in ("base", "link", "script")]
+        base = next((urljoin(url or "", h) for t in tags if t.name == "base" and (h := t.attrs.get("href", "").strip())), url or "")
+        refs = (t.attrs.get({"link": "href", "script": "src"}.get(t.name, ""), "").strip() for t in tags)
+        yield from dict.fromkeys((urljoin(base, ref),) for ref in refs if ref)
 
     wanted = per_row(pages, key, ["html", "url"], asked, "uri string").distinct()
     given = wanted.join(resources.select("uri", "content"), "uri").groupBy(key).agg(F.collect_list(F.struct("uri", "content")).alias("given"))
