@@ -69,8 +69,7 @@ _ARTICLE = f"regexp_replace(regexp_extract({_BARE}, '<article>(.*)</article>', 1
 @register("html_text", f"SELECT page_id, {_unescaped(_ARTICLE)} AS text FROM pages")
 def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text below every article element."""
-    nodes = d.html_nodes(pages(spark, sf_dir))
-    return d.text_content(nodes, nodes.where("tag = 'article'")).select("page_id", "text")
+    return d.element_texts(pages(spark, sf_dir), "article").select("page_id", "text")
 
 
 @register("html_links", r"""SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages""")

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from quillspark.catalog import documents as catalog
 from quillspark.functions import css, html
 from quillspark.operators import documents as d
 
@@ -63,3 +64,10 @@ def test_resources_are_found_without_a_tree(spark, odd, monkeypatch):
     given = spark.createDataFrame([("http://h/deep/s.css", "p{margin:4px}"), ("http://h/t.js", "document.title = 'made';"), ("http://h/no/s.css", "p{margin:90px}")], "uri string, content string")
     got = {r.page_id: (r.title, r.n_sheets) for r in d.load_pages(odd, given).collect()}
     assert got == {0: ("", 1), 1: ("", 1), 2: ("", 0), 3: ("", 0), 5: ("", 0), 6: ("made", 2)}
+
+
+def test_html_text_moves_nothing(spark, sf, odd):
+    """All paths of all texts were shuffled before."""
+    nodes = d.html_nodes(odd)
+    assert rows(d.element_texts(odd, "article")) == rows(d.text_content(nodes, nodes.where("tag = 'article'")))
+    assert not shuffles(catalog.html_text(spark, sf))
