@@ -100,10 +100,7 @@ def css_select(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("css_rules", "SELECT page_id, 'p' AS selector, 'margin' AS property, '0' AS value FROM pages")
 def css_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = pages(spark, sf_dir)
-    nodes = d.html_nodes(p)
-    sheets = d.text_content(nodes, nodes.where("tag = 'style'"))
-    return d.css_rules(sheets, "page_id", "text").select("page_id", "selector", "property", "value")
+    return d.page_rules(pages(spark, sf_dir)).select("page_id", "selector", "property", "value")
 
 
 @register("css_specificity", "SELECT * FROM (VALUES ('p', 0, 0, 1), ('#a', 1, 0, 0), ('ul li.x.y', 0, 2, 2), ('*', 0, 0, 0), ('div#a .b', 1, 1, 1)) t(selector, ids, classes, types)")

@@ -71,3 +71,10 @@ def test_html_text_moves_nothing(spark, sf, odd):
     nodes = d.html_nodes(odd)
     assert rows(d.element_texts(odd, "article")) == rows(d.text_content(nodes, nodes.where("tag = 'article'")))
     assert not shuffles(catalog.html_text(spark, sf))
+
+
+def test_css_rules_move_nothing(spark, sf, odd):
+    """All paths of all texts were shuffled before."""
+    nodes = d.html_nodes(odd)
+    assert rows(d.page_rules(odd)) == rows(d.css_rules(d.text_content(nodes, nodes.where("tag = 'style'")), "page_id", "text"))
+    assert not shuffles(catalog.css_rules(spark, sf))
