@@ -111,9 +111,8 @@ def css_specificity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("css_cascade")
 def css_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Computed values of all nodes, by arg-max and nearest-ancestor aggregations."""
-    p = pages(spark, sf_dir)
-    return d.computed(d.html_nodes(p), d.cascade(d.declared(p)))
+    """Computed values of all nodes."""
+    return d.computed_values(pages(spark, sf_dir))
 
 
 @register("css_paragraph_margins", f"SELECT page_id, len(regexp_extract_all({_BARE}, '<p>')) AS n, '0' AS value FROM pages")

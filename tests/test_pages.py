@@ -78,3 +78,10 @@ def test_css_rules_move_nothing(spark, sf, odd):
     nodes = d.html_nodes(odd)
     assert rows(d.page_rules(odd)) == rows(d.css_rules(d.text_content(nodes, nodes.where("tag = 'style'")), "page_id", "text"))
     assert not shuffles(catalog.css_rules(spark, sf))
+
+
+def test_css_cascade_moves_nothing(spark, sf, odd):
+    """Each node was joined with all above it before."""
+    assert rows(d.computed_values(odd)) == rows(d.computed(d.html_nodes(odd), d.cascade(d.declared(odd))))
+    assert d.computed_values(odd).where(F.col("property") == "color").count() > 10
+    assert not shuffles(catalog.css_cascade(spark, sf))
